@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from millrace.llm import exact_dedup, sharding
+from millrace.llm import exact_dedup, mixing, sharding, warc
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
+    "op2_mixing": mixing.op2_mixing,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op6_sharding": sharding.op6_sharding,
 }
 
 ORACLES = {
+    "op1_warc": warc.OP1_SQL,
     "op4_exact_dedup": exact_dedup.OP4_SQL,
 }
