@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from millrace.llm import exact_dedup, mixing, sharding, warc
+from millrace.llm import exact_dedup, language, mixing, quality, sharding, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_mixing": mixing.op2_mixing,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op6_sharding": sharding.op6_sharding,
+    "op7_language_id": language.op7_language_id,
+    "op8_quality": quality.op8_quality,
 }
 
 ORACLES = {
