@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import exact_dedup, language, mixing, quality, secret_scan, sharding, toxicity, warc
+from millrace.llm import decontaminate, exact_dedup, language, mixing, near_dedup, quality, secret_scan, sharding, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -13,10 +13,13 @@ QUERIES = {
     "op6_sharding": sharding.op6_sharding,
     "op7_language_id": language.op7_language_id,
     "op8_quality": quality.op8_quality,
+    "op9_near_dedup": near_dedup.op9_near_dedup,
+    "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
 ORACLES = {
     "op1_warc": warc.OP1_SQL,
     "op4_exact_dedup": exact_dedup.OP4_SQL,
     "op5_secret_scan": secret_scan.OP5_SQL,
+    "op10_decontaminate": decontaminate.OP10_SQL,
 }
