@@ -58,11 +58,13 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     texts = docs.select(F.col(id_col).alias("id"), F.char_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("points"), norm.alias("norm")).select("*", F.unhex(F.sha2("norm", 256)).alias("sha"))
     texts = texts.withColumn("digest", F.substring("sha", 1, digest_bits // 8)).withColumn("slot", F.xxhash64("digest").bitwiseAND(F.lit((1 << 62) - 1)))
     candidates = may_match(texts, "slot", slot_filter(hits, "slot")).drop("slot")
-    members = candidates.join(hits.select("digest", "keep_id", "keep_points"), "digest")
     kept = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("points") == F.col("keep_points"))
-    # Of rows that repeat the keeper's id, one text stands for it.
-    keepers = members.where(kept).groupBy("digest").agg(F.min("norm").alias("keep_norm"))
-    differ = written(members.join(keepers, "digest").where(F.col("norm") != F.col("keep_norm")).select("digest").distinct(), "differ")
+    # A hot digest's rows meet on (digest, id, points) here, so that only the keeper's own row joins. Of rows that
+    # repeat the keeper's id, one text stands for it.
+    of = hits.select(F.col("digest").alias("of"), "keep_id", "keep_points")
+    keepers = written(candidates.join(of, (F.col("digest") == F.col("of")) & kept).groupBy("digest").agg(F.min("norm").alias("keep_norm")), "keepers")
+    # Nothing but the join stands on this exchange, so that adaptive execution may split a hot digest.
+    differ = written(candidates.join(keepers, "digest").where(F.col("norm") != F.col("keep_norm")).select("digest"), "differ")
     if differ.isEmpty():
         told = runs.join(level1, "digest")
     else:
