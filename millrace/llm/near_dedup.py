@@ -8,7 +8,8 @@ later than the latest component (early termination).
 1. Equal texts become one node before anything else, so exact copies never meet in a bucket.
 2. Bands of the signature are buckets. A bucket's members are paired with two pivots, its least and its greatest node, never with each other,
    and a pair is a link if the exact Jaccard similarity of the shingle sets is at least the threshold.
-3. Links are contracted to connected components by alternating large and small stars.
+3. Links are contracted to connected components by alternating large and small stars. Buckets that still hold several components get
+   random pivots in a few more rounds.
 4. Members of one bucket that are in different components still may be similar. Their nodes go through an exact prefix filter: the
    shingles of a node in order of rarity, of which similar sets share one among the first few. Buckets of those prefixes are paired with new
    pivots, round after round, until no bucket has members of different components that were not compared.
@@ -115,7 +116,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.select("a", "b", (shared / (F.size("sa") + F.size("sb") - shared)).alias("similarity")).where(F.col("similarity") >= threshold).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 48, width: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 48, width: int = 6, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, class_id, class_size, is_copy.
 
     Documents are linked if the Jaccard similarity of their sets of five-word shingles is at least ``threshold``, or their texts
@@ -145,18 +146,25 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 48, wi
     some = some.join(other, (F.col("node") == F.col("n")) & F.col("id").eqNullSafe(F.col("i")), "left_semi")
     sets = written(_sets(some).dropDuplicates(["node"]) if _repeats(some) else _sets(some), "sets")
 
-    links = [written(_linked(pairs, sets, threshold), "links")]
-    component = written(connected(links[0]), "components")
+    links = written(_linked(pairs, sets, threshold), "links")
+    component = written(connected(links), "components")
+    for turn in range(rounds):
+        # Buckets that still hold several components get another pivot each, a random one.
+        whose = _mixed(members.select("bucket", "node").join(component, "node", "left").withColumn("component", F.coalesce("component", "node")))
+        order = F.struct(F.xxhash64("node", "bucket", F.lit(turn)), "node")
+        pivots = whose.groupBy("bucket").agg(F.min_by("node", order).alias("pivot"), F.min_by("component", order).alias("of"))
+        pairs = whose.join(pivots, "bucket").where("component != of").select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b"))
+        found = written(_linked(pairs.distinct(), sets, threshold), "links")
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            component = written(connected(links), "components")
 
     # Exact rest: nodes that share a bucket across components.
-    whose = members.select("bucket", "node").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = whose.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("bucket")
-    rest = written(whose.join(mixed, "bucket", "left_semi").select("node", "component").distinct(), "rest")
-    if not rest.isEmpty():
-        found = _prefix_links(rest, sets, threshold)
-        if found is not None:
-            links.append(found)
-            component = written(connected(links[0].unionByName(found)), "components")
+    whose = _mixed(members.select("bucket", "node").join(component, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    rest = written(whose.select("node", "component").distinct(), "rest")
+    found = _prefix_links(rest, sets, threshold)
+    if found is not None:
+        component = written(connected(links.unionByName(found)), "components")
 
     named = signed.select("id", "node", "size").join(component, "node", "left")
     own = F.when(F.col("size") == 0, F.concat(F.col("node"), F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")))
@@ -172,35 +180,46 @@ def _repeats(rows: DataFrame) -> bool:
     return not rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
 
 
+def _mixed(members: DataFrame) -> DataFrame:
+    """The members (bucket, node, component, ...) of buckets with several components."""
+    several = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("bucket")
+    return members.join(several, "bucket", "left_semi")
+
+
 def _prefix_links(rest: DataFrame, sets: DataFrame, threshold: float) -> DataFrame | None:
     """The links among nodes of different components that the prefix filter finds; None if there is none.
 
     Two sets of similarity t share one of the first n - ceil(t n) + 1 shingles of either in any common order; rarity makes the buckets small.
+    In a bucket, all but those of its largest component become pivots, some and then four times as many, and meet every member whose size
+    and place in the order leave room for t. A pair always passes in the bucket of its first common shingle.
     """
     own = sets.join(rest, "node").select("node", "component", F.size("shingles").alias("size"), "shingles")
     flat = own.select("node", F.explode("shingles").alias("shingle"))
     often = flat.groupBy("shingle").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
     # Shingles of a single node can't be shared, but they count within the prefix: rare comes first.
     shared = flat.join(often, "shingle").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("shared"))
-    sized = own.select("node", "component", "size").join(shared, "node")
-    prefix = (F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1).cast("int")
-    left = prefix - (F.col("size") - F.size("shared"))
-    keys = sized.where(left > 0).select("node", "component", F.explode(F.slice("shared", F.lit(1), F.least(left, F.size("shared")))).alias("key"))
-    members = written(keys.select(F.col("key.shingle").alias("bucket"), "node", "component"), "prefixes")
+    sized = own.select("node", "component", "size").join(shared, "node").withColumn("before", F.col("size") - F.size("shared"))
+    left = (F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1 - F.col("before")).cast("int")
+    keys = sized.where(left > 0).select("node", "component", "size", "before", F.posexplode(F.slice("shared", F.lit(1), F.least(left, F.size("shared")))).alias("k", "key"))
+    members = written(_mixed(keys.select(F.col("key.shingle").alias("bucket"), "node", "component", "size", (F.col("size") - F.col("before") - F.col("k") - 1).alias("after"))), "prefixes")
     links, turn = None, 0
-    while True:
-        order = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node")
-        pivots = members.groupBy("bucket").agg(F.min(order).alias("p"), F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("component", order).alias("of")).where("low != high").select("bucket", F.col("p.node").alias("pivot"), "of")
-        here = members.join(pivots, "bucket")
-        pairs = here.where("component != of").select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
-        pairs = written(pairs, "pairs")
-        if pairs.isEmpty():
-            return links
+    while not members.isEmpty():
+        parts = members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+        largest = parts.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n")).select("bucket", F.col("top.component").alias("largest"), (F.col("n") - F.col("top.n")).alias("others"))
+        u = F.xxhash64("node", F.lit(turn)).bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52)
+        now = members.join(largest, "bucket").withColumn("is_pivot", (F.col("component") != F.col("largest")) & (u * F.col("others") < 4.0 ** (turn + 1)))
+        now = written(now.drop("largest", "others"), "turn")
+        pivots = now.where("is_pivot").select("bucket", F.col("node").alias("pivot"), F.col("component").alias("of"), F.col("size").alias("s"), F.col("after").alias("rest"))
+        need = F.ceil((F.col("size") + F.col("s")) * (threshold / (1 + threshold)) - 1e-9)
+        fits = (F.col("component") != F.col("of")) & (F.least("size", "s") >= threshold * F.greatest("size", "s") - 1e-9) & (1 + F.least("after", "rest") >= need)
+        pairs = now.join(pivots, (now["bucket"] == pivots["bucket"]) & fits).select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
         found = written(_linked(pairs, sets, threshold), "links")
-        links = found if links is None else links.unionByName(found)
+        if not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
         # A pivot has met all others of its bucket; buckets of one component are done.
-        members = written(here.where("node != pivot").select("bucket", "node", "component"), "prefixes")
+        members = written(_mixed(now.where("not is_pivot").drop("is_pivot")), "prefixes")
         turn += 1
+    return links
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
