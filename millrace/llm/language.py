@@ -14,7 +14,7 @@ import re
 import sys
 import types
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -49,28 +49,89 @@ def words_of(text: str | None) -> list[str]:
     return found if any(c.isalpha() for w in found for c in w) else []
 
 
+_SALT = np.uint64(0xD6E8FEB86659FD93)
+_BASE = 0x9E3779B97F4A7C15
+_TABLE_BITS = 18
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+
+
+class Vocabulary:
+    """Pieces by a 64-bit hash of their code points, so that all substrings of many words are looked up at once."""
+
+    def __init__(self, pieces: list[str]) -> None:
+        self.size, self.longest = len(pieces), max(map(len, pieces), default=1)
+        codes, ends = self._codes(pieces)
+        total, _, down = self._sums(codes)
+        first = np.r_[0, ends[:-1]].astype(np.int64)
+        keys = (total[ends] - total[first]) * down[first] + (ends - first).astype(np.uint64) * _SALT
+        self.keys, self.piece = np.zeros(1 << _TABLE_BITS, np.uint64), np.full(1 << _TABLE_BITS, -1)
+        self.more: dict[int, int] = {}  # pieces whose place in the table is taken
+        for i, k in enumerate(keys.tolist()):
+            at = self._at(np.uint64(k))
+            if self.piece[at] < 0:
+                self.keys[at], self.piece[at] = k, i
+            else:
+                self.more[k] = i
+        self.rest = np.array(sorted(self.more), np.uint64)
+        self.rest_piece = np.array([self.more[k] for k in self.rest.tolist()], np.int64)
+
+    @staticmethod
+    def _at(key: np.ndarray) -> np.ndarray:
+        return (key ^ (key >> np.uint64(31))) >> np.uint64(64 - _TABLE_BITS)
+
+    @staticmethod
+    def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        return codes, np.cumsum([len(w) for w in words], dtype=np.int64)
+
+    @staticmethod
+    def _sums(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        up, down = _powers(len(codes) + 1)
+        total = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum((codes + np.uint64(1)) * up[:-1], out=total[1:])
+        return total, up, down
+
+    def edges(self, words: list[str]) -> tuple[np.ndarray, ...]:
+        """(word, start, end, piece) of all pieces in the words, each with a start mark; an unknown letter is piece ``size``."""
+        codes, ends = self._codes([START + w for w in words])
+        total, _, down = self._sums(codes)
+        lengths = np.diff(np.r_[0, ends])
+        word = np.repeat(np.arange(len(words)), lengths)
+        start = np.arange(len(codes)) - (ends - lengths)[word]
+        left = lengths[word] - start
+        at = np.arange(len(codes))
+        out = []
+        for n in range(1, self.longest + 1):
+            at = at[left[at] >= n]
+            if not len(at):
+                break
+            key = (total[at + n] - total[at]) * down[at] + np.uint64(n * int(_SALT) % (1 << 64))
+            cell = self._at(key)
+            piece = np.where(self.keys[cell] == key, self.piece[cell], -1)
+            if len(self.rest):
+                k = np.minimum(np.searchsorted(self.rest, key), len(self.rest) - 1)
+                piece = np.where((piece < 0) & (self.rest[k] == key), self.rest_piece[k], piece)
+            if n == 1:
+                piece = np.where(piece < 0, self.size, piece)
+            hit = piece >= 0
+            out.append(tuple(x.astype(np.int32) for x in (word[at[hit]], start[at[hit]], start[at[hit]] + n, piece[hit])))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 class Lattice:
-    """The edges (word, start, end, piece) of all segmentations of some words. A letter outside the vocabulary is an edge of its own, unknown to all languages alike."""
+    """The edges of all segmentations of some words. A letter outside the vocabulary is an edge of its own, unknown to all languages alike."""
 
-    def __init__(self, words: list[str], place: dict[str, int], longest: int) -> None:
-        unknown = len(place)
-        word, start, end, piece = [], [], [], []
-        for k, w in enumerate(words):
-            s = START + w
-            n = len(s)
-            for i in range(n):
-                if s[i] not in place:
-                    word.append(k), start.append(i), end.append(i + 1), piece.append(unknown)
-                for j in range(i + 1, min(n, i + longest) + 1):
-                    p = place.get(s[i:j])
-                    if p is not None:
-                        word.append(k), start.append(i), end.append(j), piece.append(p)
+    def __init__(self, words: list[str], vocabulary: Vocabulary) -> None:
         self.lengths = np.array([len(w) + 1 for w in words])
-        edges = np.array([word, start, end, piece], dtype=np.int64)
-        self.word, self.start, self.end, self.piece = edges
+        self.word, self.start, self.end, self.piece = vocabulary.edges(words)
 
     def _levels(self, by: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        order = np.lexsort((self.word, by))
+        order = np.argsort(by.astype(np.int64) * len(self.lengths) + self.word, kind="stable")
         cuts = np.searchsorted(by[order], np.arange(by.max(initial=0) + 2))
         for level in range(len(cuts) - 1):
             if cuts[level] < cuts[level + 1]:
@@ -104,26 +165,19 @@ class LanguageModel:
     log_prior: np.ndarray
     cache_words: int = 400_000
     token: str = ""
-    place: dict[str, int] = field(default_factory=dict)
+    vocabulary: Vocabulary | None = None
 
     def __post_init__(self) -> None:
-        self.longest = max(map(len, self.pieces), default=1)
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"place": {}}
-
-    def ready(self) -> None:
-        if not self.place:
-            self.place = {x: i for i, x in enumerate(self.pieces)}
+        self.vocabulary = self.vocabulary or Vocabulary(self.pieces)
+        self.place = {x: i for i, x in enumerate(self.pieces)}
 
     def score_words(self, words: list[str]) -> np.ndarray:
         """log P(word | language), word by language."""
-        self.ready()
         out = np.empty((len(words), len(self.languages)))
         short = [k for k, w in enumerate(words) if len(w) <= _LONG]
         for i in range(0, len(short), 4000):
             part = short[i : i + 4000]
-            lattice = Lattice([words[k] for k in part], self.place, self.longest)
+            lattice = Lattice([words[k] for k in part], self.vocabulary)
             out[part] = np.log(np.maximum(lattice.forward(self.p)[np.arange(len(part)), lattice.lengths], 1e-300))
         for k, w in enumerate(words):
             if len(w) > _LONG:
@@ -136,11 +190,11 @@ class LanguageModel:
         recent: list[np.ndarray] = [np.zeros(len(self.languages))]  # log alpha of the last positions
         for j in range(1, len(s) + 1):
             terms = []
-            for i in range(max(0, j - self.longest), j):
+            for i in range(max(0, j - self.vocabulary.longest), j):
                 q = self.place.get(s[i:j], unknown if j - i == 1 else None)
                 if q is not None:
                     terms.append(recent[i - j] + np.log(self.p[q]))
-            recent = [*recent, np.logaddexp.reduce(terms)][-self.longest :]
+            recent = [*recent, np.logaddexp.reduce(terms)][-self.vocabulary.longest :]
         return recent[-1]
 
     def identify(self, texts: list[str | None]) -> list[tuple[str, float]]:
@@ -149,29 +203,39 @@ class LanguageModel:
             store.clear()
             store.update(token=self.token, seen={}, scores=np.empty((self.cache_words, len(self.languages))))
         seen, scores = store["seen"], store["scores"]
-        out = []
-        for text in texts:
-            words = words_of(text) if self.languages else []
+        split = [words_of(t) if self.languages else [] for t in texts]
+        out: list[tuple[str, float]] = []
+        totals = [self.log_prior.copy() for _ in texts]
+        # Words of a few texts at a time, or a part of one long text: as many as the store can surely hold.
+        most, parts, held = self.cache_words // 2, [], 0
+        todo = [(k, words[i : i + most]) for k, words in enumerate(split) for i in range(0, len(words), most)]
+        for n, (k, part) in enumerate(todo):
+            parts.append((k, part))
+            held += len(part)
+            if n + 1 < len(todo) and held + len(todo[n + 1][1]) <= most:
+                continue
+            every = set().union(*(p for _, p in parts))
+            new = every.difference(seen)
+            if len(seen) + len(new) > self.cache_words:
+                seen.clear()
+                new = every
+            if new:
+                words = sorted(new)
+                scores[len(seen) : len(seen) + len(words)] = self.score_words(words)
+                seen.update(zip(words, range(len(seen), len(seen) + len(words)), strict=True))
+            for j, p in parts:
+                totals[j] += scores[list(map(seen.__getitem__, p))].sum(axis=0)
+            parts, held = [], 0
+        for words, total in zip(split, totals, strict=True):
             if not words:
                 out.append((UNDETERMINED, 0.0))
                 continue
-            total = self.log_prior.copy()
-            for i in range(0, len(words), self.cache_words // 4):
-                part = words[i : i + self.cache_words // 4]
-                new = sorted(set(part).difference(seen))
-                if len(seen) + len(new) > self.cache_words:
-                    seen.clear()
-                    new = sorted(set(part))
-                if new:
-                    scores[len(seen) : len(seen) + len(new)] = self.score_words(new)
-                    seen.update(zip(new, range(len(seen), len(seen) + len(new)), strict=True))
-                total += scores[np.fromiter(map(seen.__getitem__, part), np.int64, len(part))].sum(axis=0)
             best = int(np.argmax(total))
             out.append((self.languages[best], float(1 / np.exp(total - total[best]).sum())))
         return out
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", pieces: list[str] | None = None, docs_per_lang: int = 1500, max_words: int = 400_000, max_langs: int = 512, rounds: int = 3, smoothing: float = 30.0, seed: int = 5) -> LanguageModel:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", pieces: list[str] | None = None, docs_per_lang: int = 1000, max_words: int = 150_000, max_langs: int = 512, rounds: int = 3, smoothing: float = 30.0, seed: int = 5) -> LanguageModel:
     """Learns from rows with a language whose id is not held out.
 
     Bounds: about ``docs_per_lang`` documents of a language (those with the smallest hashes), the ``max_words`` most
@@ -203,13 +267,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     words = sample.select("lang", "text").mapInArrow(split, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     rows = words.orderBy(F.desc("n"), "lang", "word").limit(max_words).collect()
-    place = {x: i for i, x in enumerate(pieces)}
-    longest = max(map(len, pieces))
+    vocabulary = Vocabulary(pieces)
     expected = np.zeros((len(pieces) + 1, len(languages)))
     lattices = []
     for k, lang in enumerate(languages):
         own = sorted((r["word"], r["n"]) for r in rows if r["lang"] == lang)
-        lattices += [(k, Lattice([w for w, _ in own[i : i + 4000]], place, longest), np.array([n for _, n in own[i : i + 4000]], dtype=float)) for i in range(0, len(own), 4000)]
+        lattices += [(k, Lattice([w for w, _ in own[i : i + 4000]], vocabulary), np.array([n for _, n in own[i : i + 4000]], dtype=float)) for i in range(0, len(own), 4000)]
     p = np.full((len(pieces) + 1, len(languages)), 1 / len(pieces))
     for _ in range(rounds):
         p[-1] = _FLOOR**0.5
@@ -228,7 +291,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return LanguageModel(pieces, languages, p, np.log(n / n.sum()), token=token)
 
 
-def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", slice_rows: int = 100) -> DataFrame:
+def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", slice_rows: int = 200) -> DataFrame:
     """docs with lang_pred and score, the posterior of the prediction.
 
     A text that is null, empty or without a letter is ``und`` with score 0, as is every text if no language was learned.
