@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from millrace.plans import operators, programs, tpch
+from millrace.streaming import events
+
+QUERIES = {**tpch.QUERIES, **operators.QUERIES, **programs.QUERIES, **events.QUERIES}
+ORACLES = {**tpch.ORACLES, **operators.ORACLES, **programs.ORACLES, **events.ORACLES}
