@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.sources.tables import DERIVED_SQL, customer, lineitem, orders, part, partsupp, table
@@ -17,7 +17,6 @@ from millrace.sources.tables import DERIVED_SQL, customer, lineitem, orders, par
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-REVENUE = F.expr("l_extendedprice * (1 - l_discount)")
 _REV = "l_extendedprice * (1 - l_discount)"
 
 
@@ -32,7 +31,11 @@ def query(sql: str) -> Callable:
     return add
 
 
-def total(expression, name: str, digits: int = 2):
+def revenue() -> Column:
+    return F.expr(_REV)
+
+
+def total(expression: Column | str, name: str, digits: int = 4) -> Column:
     return F.round(F.sum(expression), digits).alias(name)
 
 
@@ -58,13 +61,13 @@ def te3_customer_self(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base_price,
-  round(sum({_REV}), 2) AS sum_disc_price, round(sum({_REV} * (1 + l_tax)), 2) AS sum_charge, round(avg(l_quantity), 4) AS avg_qty,
+  round(sum({_REV}), 4) AS sum_disc_price, round(sum({_REV} * (1 + l_tax)), 2) AS sum_charge, round(avg(l_quantity), 4) AS avg_qty,
   round(avg(l_extendedprice), 4) AS avg_price, round(avg(l_discount), 6) AS avg_disc, count(*) AS count_order
 FROM li WHERE l_shipdate <= DATE '1998-09-02' GROUP BY ALL ORDER BY 1, 2""")
 def q1(spark: SparkSession, d: str) -> DataFrame:
     rows = lineitem(spark, d).where("l_shipdate <= date_sub(date '1998-12-01', 90)")
     return rows.groupBy("l_returnflag", "l_linestatus").agg(
-        total("l_quantity", "sum_qty"), total("l_extendedprice", "sum_base_price"), total(REVENUE, "sum_disc_price"), total(REVENUE * (1 + F.col("l_tax")), "sum_charge"),
+        total("l_quantity", "sum_qty", 2), total("l_extendedprice", "sum_base_price", 2), total(revenue(), "sum_disc_price"), total(revenue() * (1 + F.col("l_tax")), "sum_charge", 2),
         F.round(F.avg("l_quantity"), 4).alias("avg_qty"), F.round(F.avg("l_extendedprice"), 4).alias("avg_price"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count(F.lit(1)).alias("count_order"),
     ).orderBy("l_returnflag", "l_linestatus")
 
@@ -83,14 +86,14 @@ def q2(spark: SparkSession, d: str) -> DataFrame:
     return least.select("p_partkey", F.inline("offers")).select("s_acctbal", "s_name", "n_name", "p_partkey").orderBy(F.desc("s_acctbal"), "n_name", "s_name", "p_partkey").limit(100)
 
 
-@query(f"""SELECT l_orderkey, round(sum({_REV}), 2) AS revenue, o_orderdate::VARCHAR AS o_orderdate FROM c JOIN o ON o_custkey = c_custkey JOIN li ON l_orderkey = o_orderkey
+@query(f"""SELECT l_orderkey, round(sum({_REV}), 4) AS revenue, o_orderdate::VARCHAR AS o_orderdate FROM c JOIN o ON o_custkey = c_custkey JOIN li ON l_orderkey = o_orderkey
 WHERE c_mktsegment = 'BUILDING' AND o_orderdate < DATE '1996-03-15' AND l_shipdate > DATE '1996-03-15'
 GROUP BY l_orderkey, o.o_orderdate ORDER BY revenue DESC, o.o_orderdate, l_orderkey LIMIT 10""")
 def q3(spark: SparkSession, d: str) -> DataFrame:
     buyers = customer(spark, d).where("c_mktsegment = 'BUILDING'").select("c_custkey")
     early = orders(spark, d).where("o_orderdate < date '1996-03-15'").join(buyers, F.col("o_custkey") == F.col("c_custkey"), "left_semi")
     late = lineitem(spark, d).where("l_shipdate > date '1996-03-15'")
-    out = late.join(early, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("l_orderkey", "o_orderdate").agg(total(REVENUE, "revenue"))
+    out = late.join(early, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("l_orderkey", "o_orderdate").agg(total(revenue(), "revenue"))
     return out.select("l_orderkey", "revenue", F.col("o_orderdate").cast("string").alias("o_orderdate")).orderBy(F.desc("revenue"), "o_orderdate", "l_orderkey").limit(10)
 
 
@@ -102,7 +105,7 @@ def q4(spark: SparkSession, d: str) -> DataFrame:
     return asked.join(late, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("order_count")).orderBy("o_orderpriority")
 
 
-@query(f"""SELECT n_name, round(sum({_REV}), 2) AS revenue FROM c JOIN o ON o_custkey = c_custkey JOIN li ON l_orderkey = o_orderkey
+@query(f"""SELECT n_name, round(sum({_REV}), 4) AS revenue FROM c JOIN o ON o_custkey = c_custkey JOIN li ON l_orderkey = o_orderkey
 JOIN supplier ON s_suppkey = l_suppkey AND s_nationkey = c_nationkey JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey
 WHERE r_name = 'ASIA' AND year(o_orderdate) = 1996 GROUP BY 1 ORDER BY 2 DESC, 1""")
 def q5(spark: SparkSession, d: str) -> DataFrame:
@@ -111,17 +114,17 @@ def q5(spark: SparkSession, d: str) -> DataFrame:
     placed = orders(spark, d).where("o_orderdate >= date '1996-01-01' and o_orderdate < date '1997-01-01'").join(customer(spark, d).select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
     sold = lineitem(spark, d).join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
     local = sold.join(sellers, (F.col("l_suppkey") == F.col("s_suppkey")) & (F.col("c_nationkey") == F.col("s_nationkey")))
-    return local.groupBy("n_name").agg(total(REVENUE, "revenue")).orderBy(F.desc("revenue"), "n_name")
+    return local.groupBy("n_name").agg(total(revenue(), "revenue")).orderBy(F.desc("revenue"), "n_name")
 
 
-@query("""SELECT round(sum(l_extendedprice * l_discount), 2) AS revenue FROM li
+@query("""SELECT round(sum(l_extendedprice * l_discount), 4) AS revenue FROM li
 WHERE l_shipdate >= DATE '1996-01-01' AND l_shipdate < DATE '1997-01-01' AND round(l_discount, 2) BETWEEN 0.05e0 AND 0.07e0 AND l_quantity < 24""")
 def q6(spark: SparkSession, d: str) -> DataFrame:
     rows = lineitem(spark, d).where("l_shipdate >= date '1996-01-01' and l_shipdate < date '1997-01-01' and round(l_discount, 2) between 0.05d and 0.07d and l_quantity < 24")
     return rows.agg(total(F.col("l_extendedprice") * F.col("l_discount"), "revenue"))
 
 
-@query(f"""SELECT a.n_name AS supp_nation, b.n_name AS cust_nation, year(l_shipdate)::BIGINT AS l_year, round(sum({_REV}), 2) AS revenue
+@query(f"""SELECT a.n_name AS supp_nation, b.n_name AS cust_nation, year(l_shipdate)::BIGINT AS l_year, round(sum({_REV}), 4) AS revenue
 FROM li JOIN o ON o_orderkey = l_orderkey JOIN c ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey
 JOIN nation a ON a.n_nationkey = s_nationkey JOIN nation b ON b.n_nationkey = c_nationkey
 WHERE (a.n_name, b.n_name) IN (('NATION_3', 'NATION_8'), ('NATION_8', 'NATION_3')) AND year(l_shipdate) BETWEEN 1995 AND 1996 GROUP BY ALL ORDER BY 1, 2, 3""")
@@ -132,7 +135,7 @@ def q7(spark: SparkSession, d: str) -> DataFrame:
     shipped = lineitem(spark, d).where("l_shipdate >= date '1995-01-01' and l_shipdate <= date '1996-12-31'")
     bought = orders(spark, d).join(buyers, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "cust_nation")
     both = shipped.join(sellers, F.col("l_suppkey") == F.col("s_suppkey")).join(bought, F.col("l_orderkey") == F.col("o_orderkey")).where("supp_nation != cust_nation")
-    return both.groupBy("supp_nation", "cust_nation", F.year("l_shipdate").cast("bigint").alias("l_year")).agg(total(REVENUE, "revenue")).orderBy("supp_nation", "cust_nation", "l_year")
+    return both.groupBy("supp_nation", "cust_nation", F.year("l_shipdate").cast("bigint").alias("l_year")).agg(total(revenue(), "revenue")).orderBy("supp_nation", "cust_nation", "l_year")
 
 
 @query(f"""SELECT year(o_orderdate)::BIGINT AS o_year, round(sum(CASE WHEN s.n_name = 'NATION_8' THEN {_REV} ELSE 0 END) / sum({_REV}), 6) AS mkt_share
@@ -145,11 +148,11 @@ def q8(spark: SparkSession, d: str) -> DataFrame:
     placed = orders(spark, d).where("o_orderdate >= date '1995-01-01' and o_orderdate <= date '1996-12-31'").join(buyers, F.col("o_custkey") == F.col("c_custkey"), "left_semi")
     sellers = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name")
     sold = lineitem(spark, d).join(part(spark, d).where("p_type = 'ECONOMY'"), F.col("l_partkey") == F.col("p_partkey"), "left_semi").join(placed, F.col("l_orderkey") == F.col("o_orderkey")).join(sellers, F.col("l_suppkey") == F.col("s_suppkey"))
-    share = F.sum(F.when(F.col("n_name") == "NATION_8", REVENUE).otherwise(0.0)) / F.sum(REVENUE)
+    share = F.sum(F.when(F.col("n_name") == "NATION_8", revenue()).otherwise(0.0)) / F.sum(revenue())
     return sold.groupBy(F.year("o_orderdate").cast("bigint").alias("o_year")).agg(F.round(share, 6).alias("mkt_share")).orderBy("o_year")
 
 
-@query(f"""SELECT n_name AS nation, year(o_orderdate)::BIGINT AS o_year, round(sum({_REV} - ps_supplycost * l_quantity), 2) AS sum_profit
+@query(f"""SELECT n_name AS nation, year(o_orderdate)::BIGINT AS o_year, round(sum({_REV} - ps_supplycost * l_quantity), 4) AS sum_profit
 FROM li JOIN p ON p_partkey = l_partkey JOIN ps ON ps_partkey = l_partkey AND ps_suppkey = l_suppkey JOIN supplier ON s_suppkey = l_suppkey
 JOIN o ON o_orderkey = l_orderkey JOIN nation ON n_nationkey = s_nationkey WHERE p_name LIKE '%blue%' GROUP BY ALL ORDER BY 1, 2 DESC""")
 def q9(spark: SparkSession, d: str) -> DataFrame:
@@ -157,17 +160,17 @@ def q9(spark: SparkSession, d: str) -> DataFrame:
     costs = partsupp(spark, d).join(blue, F.col("ps_partkey") == F.col("p_partkey"), "left_semi")
     sellers = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_name").alias("nation"))
     sold = lineitem(spark, d).join(costs, (F.col("l_partkey") == F.col("ps_partkey")) & (F.col("l_suppkey") == F.col("ps_suppkey"))).join(sellers, F.col("l_suppkey") == F.col("s_suppkey")).join(orders(spark, d), F.col("l_orderkey") == F.col("o_orderkey"))
-    return sold.groupBy("nation", F.year("o_orderdate").cast("bigint").alias("o_year")).agg(total(REVENUE - F.col("ps_supplycost") * F.col("l_quantity"), "sum_profit")).orderBy("nation", F.desc("o_year"))
+    return sold.groupBy("nation", F.year("o_orderdate").cast("bigint").alias("o_year")).agg(total(revenue() - F.col("ps_supplycost") * F.col("l_quantity"), "sum_profit")).orderBy("nation", F.desc("o_year"))
 
 
-@query(f"""SELECT c_custkey, c_name, round(sum({_REV}), 2) AS revenue, c_acctbal, n_name FROM c JOIN o ON o_custkey = c_custkey JOIN li ON l_orderkey = o_orderkey
+@query(f"""SELECT c_custkey, c_name, round(sum({_REV}), 4) AS revenue, c_acctbal, n_name FROM c JOIN o ON o_custkey = c_custkey JOIN li ON l_orderkey = o_orderkey
 JOIN nation ON n_nationkey = c_nationkey WHERE o_orderdate >= DATE '1995-10-01' AND o_orderdate < DATE '1996-01-01' AND l_returnflag = 'R'
 GROUP BY ALL ORDER BY revenue DESC, c_custkey LIMIT 20""")
 def q10(spark: SparkSession, d: str) -> DataFrame:
     placed = orders(spark, d).where("o_orderdate >= date '1995-10-01' and o_orderdate < date '1996-01-01'")
-    lost = lineitem(spark, d).where("l_returnflag = 'R'").join(placed, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey").agg(F.sum(REVENUE).alias("r"))
+    lost = lineitem(spark, d).where("l_returnflag = 'R'").join(placed, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey").agg(F.sum(revenue()).alias("r"))
     named = lost.join(customer(spark, d), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    return named.select("c_custkey", "c_name", F.round("r", 2).alias("revenue"), "c_acctbal", "n_name").orderBy(F.desc("revenue"), "c_custkey").limit(20)
+    return named.select("c_custkey", "c_name", F.round("r", 4).alias("revenue"), "c_acctbal", "n_name").orderBy(F.desc("revenue"), "c_custkey").limit(20)
 
 
 _STOCK = "FROM ps JOIN supplier ON s_suppkey = ps_suppkey JOIN nation ON n_nationkey = s_nationkey WHERE n_name = 'NATION_8'"
@@ -206,16 +209,16 @@ def q13(spark: SparkSession, d: str) -> DataFrame:
 FROM li JOIN p ON p_partkey = l_partkey WHERE l_shipdate >= DATE '1996-09-01' AND l_shipdate < DATE '1996-10-01'""")
 def q14(spark: SparkSession, d: str) -> DataFrame:
     sold = lineitem(spark, d).where("l_shipdate >= date '1996-09-01' and l_shipdate < date '1996-10-01'").join(part(spark, d), F.col("l_partkey") == F.col("p_partkey"))
-    return sold.agg(F.round(100 * F.sum(F.when(F.col("p_type").startswith("PROMO"), REVENUE).otherwise(0.0)) / F.sum(REVENUE), 6).alias("promo_revenue"))
+    return sold.agg(F.round(100 * F.sum(F.when(F.col("p_type").startswith("PROMO"), revenue()).otherwise(0.0)) / F.sum(revenue()), 6).alias("promo_revenue"))
 
 
 @query(f"""SELECT s_suppkey, s_name, total_revenue FROM supplier JOIN (
-  SELECT l_suppkey, round(sum({_REV}), 2) AS total_revenue, rank() OVER (ORDER BY round(sum({_REV}), 2) DESC) AS k FROM li
+  SELECT l_suppkey, round(sum({_REV}), 4) AS total_revenue, rank() OVER (ORDER BY round(sum({_REV}), 4) DESC) AS k FROM li
   WHERE l_shipdate >= DATE '1996-01-01' AND l_shipdate < DATE '1996-04-01' GROUP BY 1) ON l_suppkey = s_suppkey WHERE k = 1 ORDER BY 1""")
 def q15(spark: SparkSession, d: str) -> DataFrame:
-    revenue = lineitem(spark, d).where("l_shipdate >= date '1996-01-01' and l_shipdate < date '1996-04-01'").groupBy("l_suppkey").agg(total(REVENUE, "total_revenue"))
-    best = revenue.agg(F.max("total_revenue").alias("total_revenue"))  # one row
-    return revenue.join(F.broadcast(best), "total_revenue").join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select("s_suppkey", "s_name", "total_revenue").orderBy("s_suppkey")
+    sums = lineitem(spark, d).where("l_shipdate >= date '1996-01-01' and l_shipdate < date '1996-04-01'").groupBy("l_suppkey").agg(total(revenue(), "total_revenue"))
+    best = sums.agg(F.max("total_revenue").alias("total_revenue"))  # one row
+    return sums.join(F.broadcast(best), "total_revenue").join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select("s_suppkey", "s_name", "total_revenue").orderBy("s_suppkey")
 
 
 _SIZES = "49, 14, 23, 45, 19, 3, 36, 9"
@@ -253,11 +256,11 @@ _BLOCKS = " OR ".join(
 )
 
 
-@query(f"SELECT round(sum({_REV}), 2) AS revenue FROM li JOIN p ON p_partkey = l_partkey WHERE l_shipmode IN ('AIR', 'AIR REG') AND ({_BLOCKS})")
+@query(f"SELECT round(sum({_REV}), 4) AS revenue FROM li JOIN p ON p_partkey = l_partkey WHERE l_shipmode IN ('AIR', 'AIR REG') AND ({_BLOCKS})")
 def q19(spark: SparkSession, d: str) -> DataFrame:
     flown = lineitem(spark, d).where("l_shipmode in ('AIR', 'AIR REG') and l_quantity between 1 and 30")
     wanted = part(spark, d).where("p_brand in ('Brand#12', 'Brand#23', 'Brand#14') and p_size between 1 and 15")
-    return flown.join(wanted, F.col("l_partkey") == F.col("p_partkey")).where(_BLOCKS).agg(total(REVENUE, "revenue"))
+    return flown.join(wanted, F.col("l_partkey") == F.col("p_partkey")).where(_BLOCKS).agg(total(revenue(), "revenue"))
 
 
 @query("""SELECT s_name FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE n_name = 'NATION_3' AND s_suppkey IN (
@@ -298,4 +301,4 @@ def q22(spark: SparkSession, d: str) -> DataFrame:
     there = customer(spark, d).where(f"c_code in ({_CODES})")
     mean = there.where("c_acctbal > 0").agg(F.avg("c_acctbal").alias("mean"))  # one row
     idle = there.join(F.broadcast(mean), F.col("c_acctbal") > F.col("mean")).join(orders(spark, d).where(_URGENT), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
-    return idle.groupBy(F.col("c_code").alias("cntrycode")).agg(F.count(F.lit(1)).alias("numcust"), total("c_acctbal", "totacctbal")).orderBy("cntrycode")
+    return idle.groupBy(F.col("c_code").alias("cntrycode")).agg(F.count(F.lit(1)).alias("numcust"), total("c_acctbal", "totacctbal", 2)).orderBy("cntrycode")
