@@ -85,7 +85,7 @@ def _sets(texts: DataFrame) -> DataFrame:
                 h, row, _ = distinct(*shingle_hashes(batch.column(1).slice(start, n)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, n), lists(h, row, n)], names=["node", "shingles"])
 
-    return texts.select("node", "text").mapInArrow(run, "node binary, shingles array<long>")
+    return texts.select("node", "text").mapInArrow(run, "node long, shingles array<long>")
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -133,18 +133,28 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 48, wi
     one = F.min(F.struct(F.col("id").isNull().alias("n"), F.col("id").alias("id")))
     nodes = written(signed.where("size > 0").groupBy("node").agg(one.alias("one"), F.any_value("bands").alias("bands")).select("node", F.col("one.id").alias("id"), "bands"), "nodes")
 
-    members = nodes.select(F.explode("bands").alias("bucket"), "node")
-    pivots = members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high")
-    members = written(members.join(pivots, "bucket"), "buckets")
+    # From here on a node is a 64-bit number. Bands give candidates only; should two candidates share a number, another seed is taken.
+    seed = 0
+    while True:
+        numbered = nodes.select(F.xxhash64("node", F.lit(seed)).alias("number"), F.col("node").alias("of"), "id", "bands")
+        members = numbered.select(F.explode("bands").alias("bucket"), F.col("number").alias("node"))
+        pivots = members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high")
+        members = written(members.join(pivots, "bucket"), "buckets")
+        met = written(members.select("node").distinct().join(numbered.select(F.col("number").alias("node"), "of", "id"), "node").withColumn("slot", F.xxhash64("of").bitwiseAND(F.lit((1 << 62) - 1))), "met")
+        if met.count() == met.select("node").distinct().count():
+            break
+        seed += 1
     pairs = members.select("node", F.explode(F.array("low", "high")).alias("b")).where("node != b").select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b"))
     pairs = written(pairs.distinct(), "pairs")
+    members = members.select("bucket", "node")
 
     # The shingles of the nodes in some pair, from the one row that stands for each.
-    met = written(members.select("node").distinct().join(nodes.select("node", "id"), "node").withColumn("slot", F.xxhash64("node").bitwiseAND(F.lit((1 << 62) - 1))), "met")
-    some = may_match(rows.withColumn("slot", F.xxhash64("node").bitwiseAND(F.lit((1 << 62) - 1))), "slot", slot_filter(met, "slot"))
-    other = met.select(F.col("node").alias("n"), F.col("id").alias("i"))
-    some = some.join(other, (F.col("node") == F.col("n")) & F.col("id").eqNullSafe(F.col("i")), "left_semi")
-    sets = written(_sets(some).dropDuplicates(["node"]) if _repeats(some) else _sets(some), "sets")
+    texts = rows.withColumnRenamed("node", "of").withColumn("slot", F.xxhash64("of").bitwiseAND(F.lit((1 << 62) - 1)))
+    other = met.select(F.col("of").alias("o"), F.col("id").alias("i"), "node")
+    some = may_match(texts, "slot", slot_filter(met, "slot")).join(other, (F.col("of") == F.col("o")) & F.col("id").eqNullSafe(F.col("i")))
+    sets = written(_sets(some), "sets")
+    if sets.count() > met.count():  # a row that repeats another's id and text
+        sets = written(sets.dropDuplicates(["node"]), "sets")
 
     links = written(_linked(pairs, sets, threshold), "links")
     component = written(connected(links), "components")
@@ -166,6 +176,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 48, wi
     if found is not None:
         component = written(connected(links.unionByName(found)), "components")
 
+    # Components by the text of their least node.
+    root = met.select(F.col("node").alias("component"), F.col("of").alias("root"))
+    component = component.join(met.select("node", "of"), "node").join(root, "component").select(F.col("of").alias("node"), F.col("root").alias("component"))
     named = signed.select("id", "node", "size").join(component, "node", "left")
     own = F.when(F.col("size") == 0, F.concat(F.col("node"), F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")))
     named = written(named.withColumn("component", F.coalesce(own, F.col("component"), F.col("node"))).drop("size"), "named")
@@ -175,11 +188,6 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 48, wi
     return out.select(F.col("id").alias(id_col), "class_id", "class_size", (F.col("of").isNotNull() & ~F.col("id").eqNullSafe(F.col("stands"))).alias("is_copy"))
 
 
-def _repeats(rows: DataFrame) -> bool:
-    """Whether some row repeats another's id and text."""
-    return not rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
-
-
 def _mixed(members: DataFrame) -> DataFrame:
     """The members (bucket, node, component, ...) of buckets with several components."""
     several = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("bucket")
