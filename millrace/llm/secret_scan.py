@@ -122,7 +122,7 @@ def _analysed(sequence: object) -> tuple[set[str] | None, list]:
                     follow(own)
             else:
                 cut()
-                clauses += inner if least else []
+                clauses += inner + ([_clause(own)] if own else []) if least else []
         elif name != "AT":
             cut()
     if not pure:
@@ -154,17 +154,19 @@ _SPANS = "array<struct<start:int,rule:int,stop:int>>"
 def _spans(text: Column, rules: tuple[Rule, ...], k: int) -> Column:
     """Rule k's matches with their offsets in code points: what lies between matches and the matches themselves add up to them."""
     rule = rules[k]
-    gaps = F.transform(F.split(text, rule.pattern, -1), F.char_length)
-    whole = F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), F.char_length)
-    sizes = F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)), F.char_length)
-    before = lambda lengths, n: F.aggregate(F.slice(lengths, F.lit(1), n), F.lit(0), lambda a, x: a + x)
+    lengths = lambda group: F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(group)), F.char_length)
+    parts = F.struct(F.transform(F.split(text, rule.pattern, -1), F.char_length).alias("gaps"), lengths(0).alias("whole"), lengths(rule.group).alias("own"))
+    before = lambda values, n: F.aggregate(F.slice(values, F.lit(1), n), F.lit(0), lambda a, x: a + x)
 
-    def one(n: Column, i: Column) -> Column:
-        start = before(gaps, i + 1) + before(whole, i)
-        return F.when(sizes[i] >= rule.least, F.struct(start.alias("start"), F.lit(k).alias("rule"), (start + n).alias("stop")))
+    def spans(p: Column) -> Column:
+        def one(n: Column, i: Column) -> Column:
+            start = before(p["gaps"], i + 1) + before(p["whole"], i)
+            return F.when(p["own"][i] >= rule.least, F.struct(start.alias("start"), F.lit(k).alias("rule"), (start + n).alias("stop")))
 
-    found = F.filter(F.transform(whole, one), lambda s: s.isNotNull())
-    return F.when(text.rlike(rule.pattern), found).otherwise(F.array()).cast(_SPANS)
+        return F.filter(F.transform(p["whole"], one), lambda s: s.isNotNull())
+
+    # The lambda's variable holds the lists, which would else be made again for every match.
+    return F.when(text.rlike(rule.pattern), F.transform(F.array(parts), spans)[0]).otherwise(F.array()).cast(_SPANS)
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
