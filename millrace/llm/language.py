@@ -13,8 +13,9 @@ from __future__ import annotations
 import re
 import sys
 import types
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -164,7 +165,7 @@ class LanguageModel:
     p: np.ndarray  # piece by language; the last row is the unknown letter
     log_prior: np.ndarray
     cache_words: int = 400_000
-    token: str = ""
+    token: str = field(default_factory=lambda: uuid.uuid4().hex)  # tells the models of a worker apart
     vocabulary: Vocabulary | None = None
 
     def __post_init__(self) -> None:
@@ -247,9 +248,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     if len(counts) > max_langs:
         raise ValueError(f"more than {max_langs} languages")
     languages = sorted(counts)
-    token = f"{docs.sparkSession.sparkContext.applicationId}-{np.random.default_rng().integers(1 << 62)}"
     if not languages:
-        return LanguageModel(pieces, [], np.zeros((len(pieces) + 1, 0)), np.zeros(0), token=token)
+        return LanguageModel(pieces, [], np.zeros((len(pieces) + 1, 0)), np.zeros(0))
     share = F.create_map(*(F.lit(x) for lang in languages for x in (lang, min(1.0, docs_per_lang / counts[lang]))))
     sample = known.where(seeded(F.col("id"), seed) / float(1 << 52) < share[F.col("lang")])
 
@@ -288,7 +288,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     p = np.maximum(p, _FLOOR)
     p[-1] = _FLOOR**0.5
     n = np.array([counts[x] for x in languages], dtype=float)
-    return LanguageModel(pieces, languages, p, np.log(n / n.sum()), token=token)
+    return LanguageModel(pieces, languages, p, np.log(n / n.sum()))
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", slice_rows: int = 200) -> DataFrame:
