@@ -21,5 +21,6 @@ ORACLES = {
     "op1_warc": warc.OP1_SQL,
     "op4_exact_dedup": exact_dedup.OP4_SQL,
     "op5_secret_scan": secret_scan.OP5_SQL,
+    "op6_sharding": sharding.OP6_SQL,
     "op10_decontaminate": decontaminate.OP10_SQL,
 }

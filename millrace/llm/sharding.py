@@ -75,3 +75,30 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The law is ``rows``: counts are one apart at most, so grown_shard is null."""
     out = interleaved_shards(table(spark, sf_dir, "documents"), shards=24)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: The checksum is folded over the text's bytes with the usual table, which is made from its polynomial.
+OP6_SQL = """
+WITH k AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS t),
+b AS (
+  SELECT doc_id, source, coalesce(text, '') AS text,
+         list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT)) AS bytes
+  FROM documents),
+r AS (
+  SELECT doc_id, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS stratum, octet_length(encode(text)) + 8 AS size,
+         xor(list_reduce(bytes, lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) AS text_crc32,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':17'), 1, 13))::BIGINT AS h
+  FROM b, k),
+f AS (
+  SELECT *, (2 * row_number() OVER (PARTITION BY stratum ORDER BY h, doc_id NULLS FIRST, text_crc32, size) - 1)::DOUBLE
+            / (2 * count(*) OVER (PARTITION BY stratum))::DOUBLE AS f
+  FROM r),
+p AS (
+  SELECT *, row_number() OVER (ORDER BY f, stratum, h, doc_id NULLS FIRST, text_crc32, size) - 1 AS p, count(*) OVER () // 24 AS q, count(*) OVER () % 24 AS rest
+  FROM f)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'rows' AS law,
+       (CASE WHEN p < rest * (q + 1) THEN p // (q + 1) ELSE rest + (p - rest * (q + 1)) // greatest(1, q) END)::INTEGER AS shard,
+       (CASE WHEN p < rest * (q + 1) THEN p % (q + 1) ELSE (p - rest * (q + 1)) % greatest(1, q) END)::BIGINT AS slot,
+       NULL::INTEGER AS grown_shard
+FROM p
+"""
