@@ -16,6 +16,8 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.iterate import cut
+
 if TYPE_CHECKING:
     from millrace.operators.keyed import Keyed
 
@@ -154,8 +156,8 @@ def fraction_for(n: int, total: int, with_replacement: bool = False) -> float:
 
 def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
     """df with the place of each row from 0 in the order. Range partitions are counted, and each numbers its own rows from the sum of those before it."""
-    ranged = df.repartitionByRange(order).withColumn("__part", F.spark_partition_id())
-    ranged = ranged.persist(StorageLevel.DISK_ONLY)
+    # A checkpoint, since ranges made anew after a lost executor could differ from those counted.
+    ranged = cut(df.repartitionByRange(order).withColumn("__part", F.spark_partition_id()))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     counts = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
     own = F.row_number().over(Window.partitionBy("__part").orderBy(order))
