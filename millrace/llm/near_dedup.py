@@ -69,7 +69,7 @@ def _signed(texts: DataFrame, bands: int, width: int) -> DataFrame:
                 size = np.bincount(row, minlength=n)
                 full = np.flatnonzero(size)
                 found = probminhash(h, np.searchsorted(full, row), 1 + np.log(count), len(full), bands * width).reshape(-1, bands, width)
-                key = sum(mix(found[:, :, k] + np.uint64((k + 1) * _GOLDEN % (1 << 64))) for k in range(width)) if width else 0
+                key = sum(mix(found[:, :, k] + np.uint64((k + 1) * _GOLDEN % (1 << 64))) for k in range(width))
                 key = mix(key + np.arange(bands, dtype=np.uint64)[None, :])
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(size.astype(np.int64)), lists(key.ravel(), np.repeat(full, bands), n)], names=["node", "id", "size", "bands"])
 
