@@ -3,7 +3,7 @@
 A language is a distribution over the pieces of a fixed public vocabulary. A word's probability is the sum, over every way to
 cut it into pieces, of the product of their probabilities; the forward algorithm computes it. A text is its words, and the
 language with the highest posterior is its prediction. The distributions are learned by expectation maximisation on the
-same sum (forward and backward) over the words of a bounded sample of labelled documents.
+same sum (forward and backward) over all words of a bounded sample of labelled documents; workers count, the driver only adds.
 
 Words repeat, so a worker keeps the scores of words it has seen, up to a fixed number, and sums them per text.
 """
@@ -22,13 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import held_out, seeded, table
+from millrace.llm.common import held_out, seeded, table, written
 
 START = "▁"  # marks a word's start in the vocabulary
 UNDETERMINED = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 _LONG = 48  # letters up to which probabilities can't underflow
 _FLOOR = 1e-12
+_UNIT = 1 << 32  # expected counts are added as whole multiples of 1 / _UNIT, so that their order doesn't matter
 
 
 def read_pieces(path: str | None = None) -> list[str]:
@@ -236,11 +237,23 @@ class LanguageModel:
         return out
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", pieces: list[str] | None = None, docs_per_lang: int = 1000, max_words: int = 150_000, max_langs: int = 512, rounds: int = 3, smoothing: float = 30.0, seed: int = 5) -> LanguageModel:
+def expected_pieces(words: list[str], lang: np.ndarray, n: np.ndarray, p: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """(cell, count) of the pieces that the words, each n times, are expected to hold; cell: language times the rows of p plus the piece."""
+    lattice = Lattice(words, vocabulary)
+    lattice.piece = lang[lattice.word] * len(p) + lattice.piece
+    q = p.T.reshape(-1, 1)
+    alpha, beta = lattice.forward(q)[..., 0], lattice.backward(q)[..., 0]
+    total = np.maximum(alpha[np.arange(len(n)), lattice.lengths], 1e-300)
+    weight = alpha[lattice.word, lattice.start] * q[lattice.piece, 0] * beta[lattice.word, lattice.end] * (n / total)[lattice.word]
+    cell, at = np.unique(lattice.piece, return_inverse=True)
+    return cell, np.bincount(at, np.rint(weight * _UNIT)).astype(np.int64)
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", pieces: list[str] | None = None, docs_per_lang: int = 1500, max_langs: int = 512, rounds: int = 3, smoothing: float = 30.0, seed: int = 5) -> LanguageModel:
     """Learns from rows with a language whose id is not held out.
 
-    Bounds: about ``docs_per_lang`` documents of a language (those with the smallest hashes), the ``max_words`` most
-    frequent (language, word) pairs of these, ``max_langs`` languages (more is an error).
+    Bounds: about ``docs_per_lang`` documents of a language (those with the smallest hashes), of which every word counts,
+    and ``max_langs`` languages (more is an error). The words stay in the shared folder; the driver holds pieces by languages.
     """
     pieces = pieces or read_pieces()
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & ~held_out(F.col("id")))
@@ -266,23 +279,26 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                     yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen]), pa.array([k[1] for k in seen]), pa.array(list(seen.values()), pa.int64())], names=["lang", "word", "n"])
 
     words = sample.select("lang", "text").mapInArrow(split, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    rows = words.orderBy(F.desc("n"), "lang", "word").limit(max_words).collect()
-    vocabulary = Vocabulary(pieces)
-    expected = np.zeros((len(pieces) + 1, len(languages)))
-    lattices = []
-    for k, lang in enumerate(languages):
-        own = sorted((r["word"], r["n"]) for r in rows if r["lang"] == lang)
-        lattices += [(k, Lattice([w for w, _ in own[i : i + 4000]], vocabulary), np.array([n for _, n in own[i : i + 4000]], dtype=float)) for i in range(0, len(own), 4000)]
+    words = written(words, "words")
+    vocabulary, place = Vocabulary(pieces), {lang: k for k, lang in enumerate(languages)}
+
+    def counter(p: np.ndarray):
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(0, batch.num_rows, 4000):
+                    lang, word, n = (batch.column(k).slice(i, 4000).to_pylist() for k in range(3))
+                    found = expected_pieces(word, np.array([place[x] for x in lang]), np.array(n, dtype=float), p, vocabulary)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["cell", "n"])
+
+        return count
+
     p = np.full((len(pieces) + 1, len(languages)), 1 / len(pieces))
     for _ in range(rounds):
         p[-1] = _FLOOR**0.5
-        expected[:] = 0
-        for k, lattice, n in lattices:
-            q = p[:, k : k + 1]
-            alpha, beta = lattice.forward(q)[..., 0], lattice.backward(q)[..., 0]
-            total = np.maximum(alpha[np.arange(len(n)), lattice.lengths], 1e-300)
-            weight = alpha[lattice.word, lattice.start] * q[lattice.piece, 0] * beta[lattice.word, lattice.end] * (n / total)[lattice.word]
-            expected[:, k] += np.bincount(lattice.piece, weight, len(pieces) + 1)
+        counted = words.mapInArrow(counter(p), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+        expected = np.zeros(p.size)
+        expected[np.asarray(counted["cell"])] = np.asarray(counted["n"]) / _UNIT
+        expected = expected.reshape(len(languages), -1).T
         of_all = expected.sum(axis=1, keepdims=True) + 0.01
         p = (expected + smoothing * of_all / of_all.sum()) / (expected.sum(axis=0) + smoothing)
     p = np.maximum(p, _FLOOR)

@@ -225,6 +225,18 @@ def test_language_held_out(spark, corpus, nothing):
         language.identify(df, model)
 
 
+def test_language_learns_every_word_of_a_rare_language(spark):
+    """A large language with 210,000 words that occur twice, and one whose few words occur once."""
+    name = lambda k, letters: "".join(letters[k // len(letters) ** j % len(letters)] for j in range(5))
+    many = [name(k, "abcdefghijkl") for k in range(210_000)]
+    rows = [(i, " ".join(2 * many[i * 1000 : i * 1000 + 1000]), "aa") for i in range(210)]
+    rows += [(1000 + i, " ".join(name(i * 20 + k, "nopqrstuvwxyz") for k in range(20)), "zz") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    pieces = [language.START, *"abcdefghijklnopqrstuvwxyz"]
+    model = language.train(docs, pieces=pieces)
+    assert model.languages == ["aa", "zz"] and np.allclose(model.p[1:13].sum(axis=0), [5 / 6, 0], atol=0.05) and np.allclose(model.p[13:-1].sum(axis=0), [0, 5 / 6], atol=0.05)
+
+
 def test_quality_and_toxicity_held_out(spark, corpus, nothing):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     assert held_out_accuracy(quality.op8_quality(spark, "/root/testdata/sf0.01"), labels, "quality") > 0.95
