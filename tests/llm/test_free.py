@@ -153,6 +153,18 @@ def test_near_duplicates(corpus, bands, width, rounds):
     assert Counter((r["doc_id"], r["class_id"], r["class_size"]) for r in got) == Counter((r[0], ids[name(r)], len(members[name(r)])) for r in rows)
 
 
+def test_near_duplicates_with_a_much_repeated_line(spark):
+    """Copies with a line of 20 words that occurs 200 times: the sets are alike (over 0.8), the weighted ones are not."""
+    rows = []
+    for k in range(30):
+        text = [f"t{k}w{i}" for i in range(124)]
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(text + 200 * [f"t{k}line{i}" for i in range(20)]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len(shingle_set(rows[0][1])) / len(shingle_set(rows[1][1])) > 0.8
+    got = near_dedup.near_duplicates(docs).collect()
+    assert {(r["doc_id"], r["class_id"], r["class_size"]) for r in got} == {(i, i - i % 2, 2) for i in range(60)}
+
+
 def test_near_duplicates_of_nothing(nothing, spark):
     assert near_dedup.near_duplicates(nothing).count() == 0
     alone = spark.createDataFrame([(1, "just one text of words")], "doc_id long, text string")
