@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.operators import graph, numeric
 from millrace.operators.dataset import Dataset, fraction_for, numbered
 from millrace.operators.keyed import Keyed
+from millrace.plans.programs import QUERIES
 from millrace.sources import files
 from millrace.streaming import events
 
@@ -75,6 +76,21 @@ def test_closure_of_a_cycle(spark):
     assert graph.transitive_closure(spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "src int, dst int")).count() == 9
 
 
+def chain(spark, sf, d):
+    """A table lineitem whose rows lead from 1 to 2 and on to 21, all on line 3 and of quantity 1."""
+    one = spark.read.parquet(f"{sf}/lineitem.parquet").drop("l_partkey", "l_suppkey", "l_linenumber", "l_quantity").limit(1)
+    rows = spark.range(1, 21).selectExpr("id as l_partkey", "id + 1 as l_suppkey", "3 as l_linenumber", "1D as l_quantity")
+    one.crossJoin(rows).write.parquet(f"{d}/lineitem.parquet")
+
+
+def test_whole_closure_takes_every_line(spark, sf, tmp_path):
+    chain(spark, sf, tmp_path)
+    want = {(i % 60, 60 + (i + 1) % 40) for i in range(1, 21)} | {(60 + (i + 1) % 40, i % 7) for i in range(1, 21)}
+    while more := {(a, d) for a, b in want for c, d in want if b == c} - want:
+        want |= more
+    assert {tuple(r) for r in QUERIES["tc_whole_closure"](spark, str(tmp_path)).select("src", "dst").collect()} == want
+
+
 def test_triangles_ignore_loops_and_repeats(spark):
     edges = [(1, 2), (2, 1), (2, 3), (3, 1), (3, 3), (3, 4)]
     assert graph.triangles(spark.createDataFrame(edges, "src int, dst int")).first()[0] == 1
