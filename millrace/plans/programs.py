@@ -142,10 +142,10 @@ p AS (SELECT src AS node, 0::BIGINT AS distance FROM w WHERE src = 1 GROUP BY 1
   UNION SELECT w.dst, p.distance + w.weight FROM p JOIN w ON p.node = w.src WHERE p.distance + w.weight <= 60)
 SELECT node::BIGINT AS node, min(distance)::BIGINT AS distance FROM p GROUP BY 1""")
 def dij_shortest_paths(spark: SparkSession, d: str) -> DataFrame:
-    """Distances from node 1; the oracle follows paths up to 60 long, which no shortest one here exceeds."""
+    """Distances of all nodes that node 1 reaches. The SQL follows paths up to 60 long only, so it misses nodes on tables where one is farther."""
     weight = (1 + (F.col("l_partkey") * 7 + F.col("l_suppkey") * 3) % 23).alias("weight")
     links = table(spark, d, "lineitem").select((F.col("l_partkey") % 300).alias("src"), (F.col("l_suppkey") % 300).alias("dst"), weight).where("src != dst").groupBy("src", "dst").agg(F.min("weight").alias("weight"))
-    return graph.shortest_paths(links, 1).select("node", "distance").where("distance <= 60")
+    return graph.shortest_paths(links, 1).select("node", "distance")
 
 
 @query("""WITH a AS (SELECT l_partkey % 100 AS i, l_linenumber AS j, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2),

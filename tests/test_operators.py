@@ -91,6 +91,15 @@ def test_whole_closure_takes_every_line(spark, sf, tmp_path):
     assert {tuple(r) for r in QUERIES["tc_whole_closure"](spark, str(tmp_path)).select("src", "dst").collect()} == want
 
 
+def test_shortest_paths_reach_far_nodes(spark, sf, tmp_path):
+    chain(spark, sf, tmp_path)
+    want = {1: 0}
+    for i in range(1, 21):
+        want[i + 1] = want[i] + 1 + (i * 7 + (i + 1) * 3) % 23
+    assert max(want.values()) > 60
+    assert dict(map(tuple, QUERIES["dij_shortest_paths"](spark, str(tmp_path)).collect())) == want
+
+
 def test_triangles_ignore_loops_and_repeats(spark):
     edges = [(1, 2), (2, 1), (2, 3), (3, 1), (3, 3), (3, 4)]
     assert graph.triangles(spark.createDataFrame(edges, "src int, dst int")).first()[0] == 1
