@@ -237,16 +237,44 @@ class LanguageModel:
         return out
 
 
+def _long_expected(word: str, p: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """(piece, expected count) of one word of any length under one language's p, in logarithms."""
+    _, start, end, piece = vocabulary.edges([word])
+    log_p, size = np.log(p)[piece], len(word) + 1
+    alpha, beta = np.full(size + 1, -np.inf), np.full(size + 1, -np.inf)
+    alpha[0] = beta[size] = 0
+    order = np.argsort(end, kind="stable")
+    cuts = np.searchsorted(end[order], np.arange(size + 2))
+    for j in range(1, size + 1):
+        at = order[cuts[j] : cuts[j + 1]]
+        alpha[j] = np.logaddexp.reduce(alpha[start[at]] + log_p[at])
+    order = np.argsort(start, kind="stable")
+    cuts = np.searchsorted(start[order], np.arange(size + 2))
+    for j in range(size - 1, -1, -1):
+        at = order[cuts[j] : cuts[j + 1]]
+        beta[j] = np.logaddexp.reduce(beta[end[at]] + log_p[at])
+    return piece, np.exp(alpha[start] + log_p + beta[end] - alpha[size])
+
+
 def expected_pieces(words: list[str], lang: np.ndarray, n: np.ndarray, p: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """(cell, count) of the pieces that the words, each n times, are expected to hold; cell: language times the rows of p plus the piece."""
-    lattice = Lattice(words, vocabulary)
-    lattice.piece = lang[lattice.word] * len(p) + lattice.piece
-    q = p.T.reshape(-1, 1)
-    alpha, beta = lattice.forward(q)[..., 0], lattice.backward(q)[..., 0]
-    total = np.maximum(alpha[np.arange(len(n)), lattice.lengths], 1e-300)
-    weight = alpha[lattice.word, lattice.start] * q[lattice.piece, 0] * beta[lattice.word, lattice.end] * (n / total)[lattice.word]
-    cell, at = np.unique(lattice.piece, return_inverse=True)
-    return cell, np.bincount(at, np.rint(weight * _UNIT)).astype(np.int64)
+    cells, weights = [np.zeros(0, np.int64)], [np.zeros(0)]
+    for k in (k for k, w in enumerate(words) if len(w) > _LONG):
+        piece, weight = _long_expected(words[k], p[:, lang[k]], vocabulary)
+        cells.append(lang[k] * len(p) + piece)
+        weights.append(weight * n[k])
+    short = [k for k, w in enumerate(words) if len(w) <= _LONG]
+    if short:
+        lang, n = lang[short], n[short]
+        lattice = Lattice([words[k] for k in short], vocabulary)
+        lattice.piece = lang[lattice.word] * len(p) + lattice.piece
+        q = p.T.reshape(-1, 1)
+        alpha, beta = lattice.forward(q)[..., 0], lattice.backward(q)[..., 0]
+        total = np.maximum(alpha[np.arange(len(n)), lattice.lengths], 1e-300)
+        cells.append(lattice.piece)
+        weights.append(alpha[lattice.word, lattice.start] * q[lattice.piece, 0] * beta[lattice.word, lattice.end] * (n / total)[lattice.word])
+    cell, at = np.unique(np.concatenate(cells), return_inverse=True)
+    return cell, np.bincount(at, np.rint(np.concatenate(weights) * _UNIT)).astype(np.int64)
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", pieces: list[str] | None = None, docs_per_lang: int = 1500, max_langs: int = 512, rounds: int = 3, smoothing: float = 30.0, seed: int = 5) -> LanguageModel:
@@ -274,7 +302,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 seen: Counter = Counter()
                 for lang, text in zip(*(batch.column(k).slice(i, 200).to_pylist() for k in (0, 1)), strict=True):
                     for w in words_of(text):
-                        seen[lang, w[:_LONG]] += 1
+                        seen[lang, w] += 1
                 if seen:
                     yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen]), pa.array([k[1] for k in seen]), pa.array(list(seen.values()), pa.int64())], names=["lang", "word", "n"])
 

@@ -249,6 +249,17 @@ def test_language_learns_every_word_of_a_rare_language(spark):
     assert model.languages == ["aa", "zz"] and np.allclose(model.p[1:13].sum(axis=0), [5 / 6, 0], atol=0.05) and np.allclose(model.p[13:-1].sum(axis=0), [0, 5 / 6], atol=0.05)
 
 
+def test_language_learns_long_runs_whole(spark, monkeypatch):
+    rows = [(i, "a" * 60 + "b" * 900, "x") for i in range(20)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), pieces=[language.START, "a", "b"])
+    assert np.allclose(model.p[:3, 0], [1 / 961, 60 / 961, 900 / 961], atol=0.01)
+    vocabulary, p = language.Vocabulary([language.START, "a", "b", "ab", "ba"]), np.array([[0.1], [0.2], [0.3], [0.2], [0.1], [0.01]])
+    some = lambda: language.expected_pieces(["abab", "bca", "a"], np.zeros(3, int), np.array([1.0, 2, 3]), p, vocabulary)
+    want = some()
+    monkeypatch.setattr(language, "_LONG", 0)
+    assert all(np.allclose(a, b, atol=8) for a, b in zip(some(), want, strict=True))
+
+
 def test_quality_and_toxicity_held_out(spark, corpus, nothing):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     assert held_out_accuracy(quality.op8_quality(spark, "/root/testdata/sf0.01"), labels, "quality") > 0.95
