@@ -75,29 +75,28 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return mix(h + (stop - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), row
 
 
+def grams(word: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, row) of every run of n consecutive words of a row, in order; of a row of n words this is its shingle, if n is at most WORDS."""
+    if len(word) < n:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    factors, last = mix(np.arange(1, n + 1, dtype=np.uint64)), len(word) - n + 1
+    whole = row[:last] == row[n - 1 :]
+    h = sum(mix(word[k : last + k] + factors[k]) for k in range(n))[whole]
+    return mix(h if n == WORDS else h + np.uint64(n)), row[:last][whole]
+
+
 def shingle_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(hash, row) of every shingle of a slice, in order, repeated ones included."""
     word, row = word_hashes(texts)
-    counts = np.bincount(row, minlength=len(texts)).astype(np.int64)
-    firsts = np.cumsum(counts) - counts
-    factors = mix(np.arange(1, WORDS + 1, dtype=np.uint64))
-    if len(word) >= WORDS:
-        n = len(word) - WORDS + 1
-        whole = row[:n] == row[WORDS - 1 :]
-        h = sum(mix(word[k : n + k] + factors[k]) for k in range(WORDS))[whole]
-        at = row[:n][whole]
-    else:
-        h, at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    short = np.flatnonzero((counts > 0) & (counts < WORDS))
-    if len(short):
-        own = np.zeros(len(short), np.uint64)
-        for k in range(WORDS - 1):
-            has = counts[short] > k
-            own[has] += mix(word[firsts[short[has]] + k] + factors[k])
-        h, at = np.concatenate([h, own + counts[short].astype(np.uint64)]), np.concatenate([at, short])
-        order = np.argsort(at, kind="stable")
-        h, at = h[order], at[order]
-    return mix(h), at
+    h, at = grams(word, row, WORDS)
+    counts = np.bincount(row, minlength=len(texts))
+    for n in range(1, WORDS):
+        some = counts[row] == n
+        if some.any():
+            more, where = grams(word[some], row[some], n)
+            h, at = np.concatenate([h, more]), np.concatenate([at, where])
+    order = np.argsort(at, kind="stable")
+    return h[order], at[order]
 
 
 def distinct(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
