@@ -8,24 +8,25 @@ totals stay what they were. Two undecided documents remain at most.
 A source is flown in slices of bounded size. What a slice leaves undecided is gathered, two documents a slice, and flown again,
 until a source fits one group. That group also holds a reserve of documents set apart before. In the landing phase
 the last two documents are decided, and a few documents of that group are exchanged, so that the words come as near the
-target as those allow and the documents stay balanced.
+target as those allow and the documents stay balanced. A source so small that this leaves more than a hundredth of its target gets single
+documents of that group once more or less often, within the cap.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import seeded, table, written
+from millrace.llm.common import discard, seeded, table, written
 
 _SPAN = float(1 << 52)
 _EPS = 1e-9
-_FLOWN = "id string, source string, size long, h long, pi double"
+_FLOWN = "row long, source string, size long, h long, whole int, pi double"
 
 
 def flight(pi: list[float], size: list[int], draws: list[float]) -> list[int]:
@@ -104,79 +105,99 @@ def land(pi: list[float], size: list[int], left: list[int], words: float, exchan
                 pi[i] = to
 
 
-def _flown(seed: int, stage: int, last: bool):
+def top_up(pi: list[float], size: list[int], least: int, most: int, words: float, steps: int = 1000) -> None:
+    """Where more than a hundredth of ``words`` is still missing or too much, single rows go one up or down, between least and most: always the one that brings the sum nearest."""
+    p, n = np.array(pi), np.array(size, dtype=float)
+    error = float(p @ n) - words
+    for _ in range(steps):
+        if abs(error) <= 0.01 * words or not len(p):
+            break
+        can = (p < most) if error < 0 else (p > least)
+        after = np.where(can, np.abs(np.abs(error) - n), np.inf)
+        k = int(np.argmin(after))
+        if after[k] >= abs(error):
+            break
+        step = 1 if error < 0 else -1
+        p[k], error = p[k] + step, error + step * n[k]
+    pi[:] = p.tolist()
+
+
+def _flown(seed: int, stage: int, cap: int | None = None):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["h", "size", "id"], kind="stable", na_position="first", ignore_index=True)
+        rows = rows.sort_values(["h", "size", "row"], kind="stable", ignore_index=True)
         rng = np.random.default_rng(int.from_bytes(hashlib.sha256(repr((seed, stage, *map(str, key))).encode()).digest()[:16], "big"))
         pi, size = rows["pi"].tolist(), rows["size"].tolist()
         words = float(np.dot(rows["pi"], rows["size"]))
         left = flight(pi, size, rng.random(len(pi) + 1).tolist())
-        if last:
+        if cap is not None and len(rows):
+            whole = int(rows["whole"].iloc[0])
             land(pi, size, left, words)
-        return rows.assign(pi=pi)[["id", "source", "size", "h", "pi"]]
+            top_up(pi, size, -whole, cap - whole, words)
+        return rows.assign(pi=pi)[["row", "source", "size", "h", "whole", "pi"]]
 
     return run
 
 
-def fill_targets(sizes: dict[str | None, int], cap: float) -> dict[str | None, float]:
-    """Targets that share 100 % of all sizes by weight 1, 2, 3, repeating, over the sources by code point, null last; none exceeds cap times its size."""
-    order = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
-    weight = {s: i % 3 + 1 for i, s in enumerate(order)}
-    total, full = sum(sizes.values()), set()
+def fill_targets(sources: DataFrame, cap: int) -> DataFrame:
+    """sources (source, size, n) with target: they share 100 % of all sizes by weight 1, 2, 3, repeating, over the sources by code point, null last;
+    none exceeds cap times its size, and the excess is shared anew among the others.
+
+    Places are counted in the ranges of a sort, so that there may be any number of sources. The driver only sees sums.
+    """
+    ordered = written(sources.orderBy(F.asc_nulls_last("source")).withColumn("part", F.spark_partition_id()), "mix-sources")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    offsets = ordered.groupBy("part").agg(F.count(F.lit(1)).alias("rows")).select("part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy(F.asc_nulls_last("source"))) + F.col("before") - 1
+    weighed = written(ordered.join(F.broadcast(offsets), "part").select("source", "size", "n", (place % 3 + 1).alias("weight")), "mix-weights")
+    discard(ordered)
+    total = weighed.agg(F.sum("size")).first()[0] or 0
+    limit, level = F.col("size") * cap, 0.0  # what a source takes for each unit of weight
     while True:
-        open_ = [s for s in order if s not in full]
-        rest = total - sum(cap * sizes[s] for s in full)
-        weights = sum(weight[s] for s in open_)
-        target = {s: rest * weight[s] / weights for s in open_}
-        above = {s for s in open_ if target[s] > cap * sizes[s]}
-        if not above:
-            return {s: float(target[s] if s in target else cap * sizes[s]) for s in order}
-        full |= above
+        free = F.col("weight") * level <= limit
+        weights, taken = weighed.agg(F.sum(F.when(free, F.col("weight"))), F.sum(F.when(~free, limit))).first()
+        new = (total - (taken or 0)) / weights if weights else level
+        if new <= level:
+            break
+        level = new
+    return weighed.withColumn("target", F.least(F.col("weight") * level, limit.cast("double"))).drop("weight")
 
 
-def mix(docs: DataFrame, seed: int = 23, cap: int = 3, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", group_rows: int = 20_000, reserve: int = 500, max_sources: int = 100_000) -> DataFrame:
-    """One row per input row: id, source, size, source_size, target, copies, taken.
+def mix(docs: DataFrame, seed: int = 23, cap: int = 3, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", group_rows: int = 20_000, reserve: int = 500) -> DataFrame:
+    """One row per input row: id, text_key, source, size, source_size, target, copies, taken.
 
     size is the number of words (runs of other than white space; null: 0). Targets are those of ``fill_targets``; copies is a
     whole number of at most ``cap``, and taken = size * copies. A null source is a source of its own. Empty texts
-    count as documents of size 0. Rows that repeat an id are documents of their own. Reruns agree: all draws are seeded by
-    source and slice, and rows are ordered by a hash of the id. Other columns are not read; an empty table gives an
-    empty result. The driver holds one row per source; more than ``max_sources`` is an error. A task holds
-    about ``group_rows`` rows of ids and sizes.
+    count as documents of size 0. Rows that repeat an id are documents of their own; text_key, the MD5 of the text, tells them apart. Reruns agree: all draws
+    are seeded by source and slice, and rows are ordered by a hash of id and text. Other columns are not read; an empty table
+    gives an empty result. A task holds about ``group_rows`` rows of numbers and sizes; only rows of one source that repeat both id and text are
+    never parted.
     """
-    spark = docs.sparkSession
-    id_type = docs.schema[id_col].dataType
-    rows = written(
-        docs.select(
-            F.col(id_col).cast("string").alias("id"),
-            F.col(source_col).alias("source"),
-            F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"),
-            seeded(F.col(id_col), seed).alias("h"),
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keyed = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), text.alias("text")).withColumn("key", F.md5("text"))
+    size = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size")
+    by = F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("key"))
+    rows = written(keyed.select(F.monotonically_increasing_id().alias("row"), "id", F.unhex("key").alias("text_key"), "source", size, seeded(by, seed).alias("h")), "mix-rows")
+    known = fill_targets(rows.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")), cap)
+    wanted = F.when(F.col("size") > 0, F.col("target") / F.col("size")).otherwise(0.0)
+    known = known.withColumn("wanted", wanted).withColumn("whole", F.floor(F.col("wanted") + _EPS)).withColumn("rest", F.col("wanted") - F.col("whole"))
+    slices = F.when(F.col("n") <= group_rows, 0).otherwise(F.ceil(F.col("n") / group_rows))
+    known = written(
+        known.select(
+            F.col("source").alias("of"), F.col("size").alias("source_size"), "target", F.col("whole").cast("int").alias("whole"),
+            F.when(F.col("rest") > _EPS, F.col("rest")).otherwise(0.0).alias("share"), slices.cast("int").alias("slices"), (reserve / F.col("n")).alias("reserved"),
         ),
-        "mix-rows",
+        "mix-targets",
     )
-    totals = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).limit(max_sources + 1).collect()
-    if len(totals) > max_sources:
-        raise ValueError(f"more than {max_sources} sources")
-    sizes = {r["source"]: r["size"] for r in totals}
-    targets = fill_targets(sizes, cap) if sizes else {}
-    facts = []
-    for r in totals:
-        wanted = targets[r["source"]] / r["size"] if r["size"] else 0.0
-        whole = math.floor(wanted + _EPS)
-        share = wanted - whole if wanted - whole > _EPS else 0.0
-        slices = 0 if r["n"] <= group_rows else math.ceil(r["n"] / group_rows)
-        facts.append((r["source"], r["size"], targets[r["source"]], whole, share, slices, reserve / r["n"]))
-    known = spark.createDataFrame(facts, "fact_source string, source_size long, target double, whole int, share double, slices int, reserved double")
-    rows = rows.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("fact_source")), "left").drop("fact_source")
+    # Broadcast by Spark if the table of sources is small.
+    told = rows.join(known, F.col("source").eqNullSafe(F.col("of")))
     u = F.col("h") / _SPAN
-    flying = rows.where("share > 0").select("id", "source", "size", "h", F.col("share").alias("pi"), F.when((F.col("slices") == 0) | (u < F.col("reserved")), -1).otherwise(F.floor(u * F.col("slices"))).cast("int").alias("slice"))
+    flying = told.where("share > 0").select("row", "source", "size", "h", "whole", F.col("share").alias("pi"), F.when((F.col("slices") == 0) | (u < F.col("reserved")), -1).otherwise(F.floor(u * F.col("slices"))).cast("int").alias("slice"))
     decided = []
     last = flying.where("slice = -1").drop("slice")
-    most = max((f[5] for f in facts), default=0)
+    most = known.agg(F.max("slices")).first()[0] or 0
     sliced, stage = flying.where("slice >= 0"), 0
     while most:
-        flown = written(sliced.groupBy("source", "slice").applyInPandas(_flown(seed, stage, False), _FLOWN), "mix-flown")
+        flown = written(sliced.groupBy("source", "slice").applyInPandas(_flown(seed, stage), _FLOWN), "mix-flown")
         decided.append(flown.where("pi in (0, 1)"))
         undecided = flown.where("pi not in (0, 1)")
         most = most * 2 // group_rows  # slices that two documents of each slice fill again
@@ -185,14 +206,11 @@ def mix(docs: DataFrame, seed: int = 23, cap: int = 3, id_col: str = "doc_id", s
             break
         sliced, stage = undecided.withColumn("slice", F.floor(u * (most + 1)).cast("int")), stage + 1
         most += 1
-    decided.append(last.groupBy("source").applyInPandas(_flown(seed, -1, True), _FLOWN))
-    out = decided[0]
-    for d in decided[1:]:
-        out = out.unionByName(d)
-    fixed = rows.where("share = 0").select("id", "source", "size", "h", F.lit(0.0).alias("pi"))
-    out = out.unionByName(fixed).join(F.broadcast(known), F.col("source").eqNullSafe(F.col("fact_source")))
-    copies = F.col("whole") + F.col("pi").cast("int")
-    return out.select(F.col("id").cast(id_type).alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+    decided.append(last.groupBy("source").applyInPandas(_flown(seed, -1, cap), _FLOWN))
+    more = reduce(DataFrame.unionByName, decided).where("pi != 0").select(F.col("row").alias("r"), F.col("pi").cast("int").alias("more"))
+    copies = F.col("whole") + F.coalesce("more", F.lit(0))
+    out = told.join(more.hint("merge"), F.col("row") == F.col("r"), "left")
+    return out.select(F.col("id").alias(id_col), "text_key", F.col("source").alias(source_col), "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
