@@ -7,11 +7,14 @@ it is given. Empty tables pass through as empty tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+from functools import wraps
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate, language, mixing, near_dedup, sharding
-from millrace.llm.common import table, written
+from millrace.llm.common import TABLES, discard, discard_paths, table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LEAST_SCORE = 0.5
@@ -21,41 +24,80 @@ SHARDS = 24
 ORACLE_SQL = None
 
 
+#: Tables in the shared folder that the stage before left: its result reads them until it is written, which it is when the next stage begins.
+_LEFT: list[str] = []
+
+
+def _stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage that first deletes what the stage before left in the shared folder."""
+
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        discard_paths(spark, _LEFT)
+        before = set(TABLES)
+        out = f(spark, docs.select(*COLUMNS), sf_dir)
+        _LEFT[:] = [path for path in TABLES if path not in before]
+        return out
+
+    return run_stage
+
+
+def _text_key() -> Column:
+    return F.unhex(F.md5(F.coalesce(F.col("text"), F.lit(""))))
+
+
+def _of(keys: DataFrame) -> tuple[DataFrame, Column]:
+    """The keys (doc_id, text_key) under other names, and the condition that a row has them. Spark broadcasts them if they are few."""
+    return keys.select(F.col("doc_id").alias("of_id"), F.col("text_key").alias("of_key")), F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_key") == F.col("of_key"))
+
+
+@_stage
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language: null, empty and letterless texts, and those whose best language is less likely than not."""
-    docs = docs.select(*COLUMNS)
     found = language.identify(docs, language.train(docs))
     return found.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
 
 
+@_stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of each class. Rows that repeat its id and text are one document, and one stays."""
-    docs = docs.select(*COLUMNS)
-    classes = written(near_dedup.near_duplicates(docs), "classes")
-    stays = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy(F.col("doc_id").alias("stays")).agg(F.count(F.lit(1)).alias("rows"))
-    stays = written(stays, "stays")
-    kept = docs.join(stays, F.col("doc_id").eqNullSafe(F.col("stays")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"]) if not stays.where("rows > 1").isEmpty() else kept
-
-
+    """Keeps the one text that stands for each class. Rows that repeat its id and text are one document, and one stays."""
+    classes = written(near_dedup.near_duplicates(docs).select("doc_id", "text_key", "stays"), "classes")
+    go, goes = _of(written(classes.where("not stays").select("doc_id", "text_key").distinct(), "dropped"))
+    kept = docs.withColumn("text_key", _text_key()).join(go, goes, "left_anti")
+    repeated = written(classes.where("stays").groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "repeated")
+    if not repeated.isEmpty():
+        again, is_again = _of(repeated)
+        kept = kept.join(again, is_again, "left_anti").unionByName(kept.join(again, is_again, "left_semi").dropDuplicates(["doc_id", "text_key"]))
+    return kept.select(*COLUMNS)
+
+
+@_stage
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that contain a benchmark item."""
-    docs = docs.select(*COLUMNS)
-    leaks = decontaminate.contained_items(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("leaked")).distinct()
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("leaked")), "left_anti")
+    """Drops documents that contain a benchmark item. Another text under the same id stays."""
+    leaks, leaked = _of(written(decontaminate.contained_items(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "text_key").distinct(), "leaks"))
+    return docs.withColumn("text_key", _text_key()).join(leaks, leaked, "left_anti").select(*COLUMNS)
 
 
+@_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats every document as often as the mixture takes it; those it doesn't take go. Rows that repeat an id are taken alike."""
-    docs = docs.select(*COLUMNS)
-    taken = mixing.mix(docs).groupBy(F.col("doc_id").alias("taken")).agg(F.max("copies").alias("copies")).where("copies > 0")
-    mixed = docs.join(written(taken, "taken"), F.col("doc_id").eqNullSafe(F.col("taken")))
-    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS)
-
-
+    """Repeats every document as often as the mixture takes it; those it doesn't take go. Rows alike in id, source and text are taken
+    together: the first of them is repeated as often as all of them are taken."""
+    taken = mixing.mix(docs).groupBy("doc_id", "text_key", "source").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")).where("copies > 0")
+    taken = written(taken.withColumnRenamed("source", "of_source"), "taken")
+    keyed = docs.withColumn("text_key", _text_key())
+    if not taken.where("rows > 1").isEmpty():
+        keyed = keyed.dropDuplicates(["doc_id", "text_key", "source"])
+    _, is_of = _of(taken)
+    of = taken.select(F.col("doc_id").alias("of_id"), F.col("text_key").alias("of_key"), "of_source", "copies")
+    # Every document meets its number of copies: a sort-merge join at any size.
+    mixed = keyed.join(of.hint("merge"), is_of & F.col("source").eqNullSafe(F.col("of_source")))
+    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies").cast("long")))).select(*COLUMNS)
+
+
+@_stage
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The shard and slot of every row."""
-    return sharding.interleaved_shards(docs.select(*COLUMNS), shards=SHARDS)
+    return sharding.interleaved_shards(docs, shards=SHARDS)
 
 
 STAGES = [
@@ -68,7 +110,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs, last = written(stage(spark, docs, sf_dir), f"stage-{name}"), before
+        if last is not None:
+            discard(last)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
