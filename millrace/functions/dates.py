@@ -7,7 +7,12 @@ from pyspark.sql import functions as F
 
 
 def make(year: Column, month: Column, day: Column) -> Column:
-    return F.make_date(year, month, day)
+    """The date; null if there is no such day."""
+    return F.try_to_date(F.format_string("%04d-%02d-%02d", year, month, day), "yyyy-MM-dd")
+
+
+def is_valid(year: Column, month: Column, day: Column) -> Column:
+    return make(year, month, day).isNotNull()
 
 
 def parse(text: Column) -> Column:
@@ -68,3 +73,30 @@ def is_leap(day: Column) -> Column:
 def month_of(day: Column) -> Column:
     """The first day of the month, which stands for the month."""
     return F.trunc(day, "MM").cast("date")
+
+
+# --- months: DATE columns that hold the first day
+
+
+def parse_month(text: Column) -> Column:
+    """YYYY-MM or YYYYMM; null if it is neither or no month."""
+    return F.coalesce(F.try_to_date(F.concat(text, F.lit("-01")), "yyyy-MM-dd"), F.try_to_date(F.concat(text, F.lit("01")), "yyyyMMdd"))
+
+
+def iso_month(month: Column) -> Column:
+    return F.date_format(month, "yyyy-MM")
+
+
+def readable_month(month: Column) -> Column:
+    """As in Oct 2018."""
+    return F.date_format(month, "MMM yyyy")
+
+
+def step_months(month: Column, n: int | Column) -> Column:
+    """n months later, or earlier if n is negative. The first day of a month never clamps."""
+    return F.add_months(month, n)
+
+
+def months_apart(a: Column, b: Column) -> Column:
+    """How many months a is after b."""
+    return ((F.year(a) - F.year(b)) * 12 + F.month(a) - F.month(b)).cast("int")

@@ -43,9 +43,9 @@ def triangles(edges: DataFrame) -> DataFrame:
 
 
 def shortest_paths(edges: DataFrame, source: int, max_rounds: int | None = None) -> DataFrame:
-    """(node, distance, path) of all nodes that source reaches over edges (src, dst, weight), weights not negative. Of equal distances the least path as a text stays.
+    """(node, distance, path) of all nodes that source reaches over edges (src, dst, weight), weights above 0. Of equal distances the least path as a text stays.
 
-    Each round relaxes all edges; it ends when no distance changes.
+    Each round relaxes all edges; it ends when no distance and no path changes.
     """
     start = edges.sparkSession.createDataFrame([(source, 0, str(source))], "node long, distance long, path string")
     links = cut(edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.col("weight").cast("long").alias("weight")))
@@ -55,4 +55,4 @@ def shortest_paths(edges: DataFrame, source: int, max_rounds: int | None = None)
         best = now.union(moved).groupBy("node").agg(F.min(F.struct("distance", "path")).alias("best"))
         return best.select("node", "best.distance", "best.path")
 
-    return fixpoint(start, step, lambda df: df.agg(F.count(F.lit(1)), F.sum("distance")).first(), max_rounds)
+    return fixpoint(start, step, lambda df: df.agg(F.count(F.lit(1)), F.sum("distance"), F.sum(F.xxhash64("node", "path").cast("decimal(38,0)"))).first(), max_rounds)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.dataset import Dataset
+from millrace.operators.dataset import Dataset, arrow_schema, as_batch
 
 
 class Keyed:
@@ -41,10 +42,42 @@ class Keyed:
         value = F.col(values[0]) if len(values) == 1 else F.struct(*values)
         return Keyed(self.df.groupBy(*self.keys).agg(F.array_sort(F.collect_list(value)).alias(name)), self.keys)
 
-    def combine_by_key(self, create: Column, merge: Callable[[Column, Column], Column], value: Column, name: str, finish: Callable[[Column], Column] | None = None) -> Keyed:
-        """A user's combiner, folded over a key's sorted values. It holds a whole group, as any combiner without a built-in form must here."""
-        out = F.aggregate(F.array_sort(F.collect_list(value)), create, merge, finish)
-        return Keyed(self.df.groupBy(*self.keys).agg(out.alias(name)), self.keys)
+    def combine_by_key_py(self, create: Callable, merge_value: Callable, merge_combiners: Callable, state: str, *values: str) -> Keyed:
+        """A user's combiner: create(*values) begins a state, merge_value(state, *values) adds to it, merge_combiners joins two. A state is a tuple of the fields in ``state``.
+
+        Each Arrow batch gives a state per key, and only states are shuffled. They arrive sorted by key, so that a task holds one state
+        at a time; of a hot key there is one for each batch. Aggregates that Spark has are faster by ``reduce_by_key``.
+        """
+        keys, n = self.keys, len(self.keys)
+        fields = ", ".join(f"`{k}` {self.df.schema[k].dataType.simpleString()}" for k in keys)
+        schema = f"{fields}, {state}"
+        arrow = arrow_schema(schema)
+
+        def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                states: dict[tuple, tuple] = {}
+                for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    key = row[:n]
+                    states[key] = merge_value(states[key], *row[n:]) if key in states else create(*row[n:])
+                yield as_batch([(*k, *s) for k, s in states.items()], arrow)
+
+        def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            key, now = None, None
+            for batch in batches:
+                done = []
+                for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if row[:n] == key:
+                        now = merge_combiners(now, row[n:])
+                        continue
+                    if key is not None:
+                        done.append((*key, *now))
+                    key, now = row[:n], row[n:]
+                yield as_batch(done, arrow)
+            if key is not None:
+                yield as_batch([(*key, *now)], arrow)
+
+        states = self.df.select(*keys, *values).mapInArrow(combined, schema)
+        return Keyed(states.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(merged, schema), keys)
 
     def count_distinct(self, column: str, name: str) -> Keyed:
         return Keyed(self.df.groupBy(*self.keys).agg(F.countDistinct(column).alias(name)), self.keys)

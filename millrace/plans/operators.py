@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -11,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import dates
-from millrace.operators.dataset import Dataset, fraction_for
+from millrace.operators.dataset import Dataset, fraction_for, hashed, numbered, poisson_steps
+from millrace.operators.iterate import cut, shared_folder
 from millrace.operators.keyed import Keyed
 from millrace.sources import files
 from millrace.sources.tables import table
@@ -33,9 +32,8 @@ def query(sql: str | None = None) -> Callable:
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder in the shared one, or a temporary one where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/{uuid.uuid4().hex}" if shared else os.path.join(tempfile.mkdtemp(prefix="millrace-"), "files")
+    """A new folder in the one that driver and executors share."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 def _items(spark: SparkSession, d: str) -> Dataset:
@@ -87,6 +85,26 @@ def a10_edge_text(spark: SparkSession, d: str) -> DataFrame:
     return files.edges(spark, path)
 
 
+@query("SELECT o_custkey AS user, l_partkey AS item, avg(l_quantity) AS rating, count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2")
+def a10_rating_text(spark: SparkSession, d: str) -> DataFrame:
+    path = _folder(spark)
+    rated = table(spark, d, "lineitem").join(table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    rated.select(F.concat_ws("::", "o_custkey", "l_partkey", "l_quantity")).write.text(path)
+    return Keyed(files.ratings(spark, path), ["user", "item"]).reduce_by_key(rating=F.avg("rating"), n=F.count(F.lit(1))).df
+
+
+@query("""SELECT p_partkey AS node, CASE WHEN p_partkey = 1 THEN 0 ELSE 999 END::BIGINT AS distance, l_suppkey AS dst, l_linenumber::BIGINT AS weight
+FROM part LEFT JOIN (SELECT l_partkey, l_suppkey, min(l_linenumber) AS l_linenumber FROM lineitem GROUP BY 1, 2) ON l_partkey = p_partkey""")
+def a10_adjacency_text(spark: SparkSession, d: str) -> DataFrame:
+    """Every part's weighted links to its suppliers, one line a part."""
+    path = _folder(spark)
+    links = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey"), "l_suppkey").agg(F.min("l_linenumber").alias("w"))
+    links = links.groupBy("p_partkey").agg(F.array_join(F.collect_list(F.concat("l_suppkey", F.lit(","), "w", F.lit(":"))), "").alias("links"))
+    parts = table(spark, d, "part").select("p_partkey").join(links, "p_partkey", "left")
+    parts.select(F.concat_ws(" ", "p_partkey", F.when(F.col("p_partkey") == 1, 0).otherwise(999), F.coalesce("links", F.lit("")))).write.text(path)
+    return files.weighted_adjacency(spark, path)
+
+
 @query("SELECT n_name FROM nation")
 def a11_save(spark: SparkSession, d: str) -> DataFrame:
     """The second write finds the folder and leaves it as it is."""
@@ -123,9 +141,9 @@ def b4_map_partitions(spark: SparkSession, d: str) -> DataFrame:
     return Dataset(table(spark, d, "part").select("p_partkey", "p_retailprice")).map_partitions_py(twice, "p_partkey long, twice double").df
 
 
-@query("SELECT count(*) AS n, true AS numbered FROM part")
+@query("SELECT i AS id, (i // 250)::INTEGER AS partition FROM range(1000) t(i)")
 def b5_partition_index(spark: SparkSession, d: str) -> DataFrame:
-    return Dataset(table(spark, d, "part").repartition(4, "p_partkey")).with_partition().df.agg(F.count(F.lit(1)).alias("n"), ((F.min("partition") >= 0) & (F.max("partition") < 4)).alias("numbered"))
+    return Dataset.range(spark, 0, 1000, 4).with_partition().df
 
 
 @query("SELECT p_brand AS key, p_partkey FROM part")
@@ -162,20 +180,30 @@ def b11_union(spark: SparkSession, d: str) -> DataFrame:
     return Dataset(table(spark, d, "nation").select(F.col("n_name").alias("name"))).union(regions, regions).df
 
 
-@query()
+_ROW = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)"
+
+
+def _u(key: str, seed: int) -> str:
+    """SQL for the number in [0, 1) that ``hashed`` gives."""
+    return f"(('0x' || substr(md5(coalesce(({key})::VARCHAR, '') || ':{seed}'), 1, 13))::BIGINT / 4503599627370496e0)"
+
+
+@query(f"SELECT l_orderkey, l_linenumber FROM lineitem WHERE {_u(_ROW, 7)} < 0.1e0")
 def b12_sample(spark: SparkSession, d: str) -> DataFrame:
-    return _items(spark, d).sample(0.1, seed=7).df.select("l_orderkey", "l_linenumber")
+    return _items(spark, d).sample(0.1, seed=7, key=F.expr(_ROW)).df.select("l_orderkey", "l_linenumber")
 
 
-@query()
+@query(f"SELECT l_orderkey, l_linenumber FROM (SELECT *, {_u(_ROW, 7)} AS u FROM lineitem), (VALUES {', '.join(f'({x!r}::DOUBLE)' for x in poisson_steps(0.1))}) t(below) WHERE u >= below")
 def b12_sample_with_replacement(spark: SparkSession, d: str) -> DataFrame:
-    return _items(spark, d).sample(0.1, with_replacement=True, seed=7).df.select("l_orderkey", "l_linenumber")
+    return _items(spark, d).sample(0.1, with_replacement=True, seed=7, key=F.expr(_ROW)).df.select("l_orderkey", "l_linenumber")
 
 
 @query("SELECT count(*) AS first, count(*) AS second FROM part")
 def b13_cache(spark: SparkSession, d: str) -> DataFrame:
     kept = Dataset(table(spark, d, "part")).cache()
-    return kept.count().withColumnRenamed("count", "first").crossJoin(kept.count().withColumnRenamed("count", "second"))
+    counts = [kept.count().first()[0] for _ in range(2)]
+    kept.uncache()
+    return spark.createDataFrame([tuple(counts)], "first long, second long")
 
 
 # --- aggregation
@@ -184,10 +212,8 @@ def b13_cache(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT p_brand, sum(p_size)::BIGINT AS total, max(p_size)::BIGINT AS most FROM part GROUP BY 1")
 def c1_combine_by_key(spark: SparkSession, d: str) -> DataFrame:
     """A user's combiner: the sum and the maximum in one state."""
-    zero = F.struct(F.lit(0).cast("bigint").alias("total"), F.lit(-1).cast("bigint").alias("most"))
-    size = F.col("p_size").cast("bigint")
-    out = Keyed(table(spark, d, "part"), ["p_brand"]).combine_by_key(zero, lambda s, v: F.struct((s["total"] + v).alias("total"), F.greatest(s["most"], v).alias("most")), size, "state")
-    return out.df.select("p_brand", "state.*")
+    sizes = Keyed(table(spark, d, "part").select("p_brand", F.col("p_size").cast("bigint").alias("v")), ["p_brand"])
+    return sizes.combine_by_key_py(lambda v: (v, v), lambda s, v: (s[0] + v, max(s[1], v)), lambda s, t: (s[0] + t[0], max(s[1], t[1])), "total long, most long", "v").df
 
 
 @query("SELECT n_regionkey, array_to_string(list_sort(list(n_nationkey)), ',') AS nations FROM nation GROUP BY 1")
@@ -210,20 +236,21 @@ def c9_partition_by_key(spark: SparkSession, d: str) -> DataFrame:
     return _by_part(spark, d).partition_by_key(8).df
 
 
-@query("SELECT true AS together FROM region LIMIT 1")
+@query("SELECT l_partkey, count(*) AS n, 1::BIGINT AS partitions FROM lineitem GROUP BY 1")
 def c10_hash_partitioner(spark: SparkSession, d: str) -> DataFrame:
-    """Whether every key lies in one partition."""
+    """In how many partitions each key lies."""
     placed = table(spark, d, "lineitem").select("l_partkey").repartition(8, "l_partkey").withColumn("p", F.spark_partition_id())
-    return placed.groupBy("l_partkey").agg(F.countDistinct("p").alias("n")).agg((F.max("n") == 1).alias("together"))
+    return placed.groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("p").alias("partitions"))
 
 
-@query("SELECT true AS ordered FROM region LIMIT 1")
+@query("SELECT p_partkey, row_number() OVER (ORDER BY p_partkey DESC) AS place FROM part")
 def c11_range_partitioner(spark: SparkSession, d: str) -> DataFrame:
-    """Whether the partitions' ranges follow each other, downwards when asked."""
-    placed = Keyed(table(spark, d, "part").select("p_partkey"), ["p_partkey"]).partition_by_range(4, ascending=False).df.withColumn("p", F.spark_partition_id())
-    spans = placed.groupBy("p").agg(F.min("p_partkey").alias("lo"), F.max("p_partkey").alias("hi"))
-    follows = F.coalesce(F.col("lo") > F.lead("hi").over(Window.orderBy("p")), F.lit(True))  # four rows
-    return spans.withColumn("follows", follows).agg(F.bool_and("follows").alias("ordered"))
+    """The place of each key when the partitions, downwards, are put one after the other, each sorted by itself."""
+    placed = cut(Keyed(table(spark, d, "part").select("p_partkey"), ["p_partkey"]).partition_by_range(4, ascending=False).df.withColumn("p", F.spark_partition_id()))
+    before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)  # four rows
+    sizes = placed.groupBy("p").agg(F.count(F.lit(1)).alias("n")).select("p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("p").orderBy(F.desc("p_partkey")))
+    return placed.withColumn("own", own).join(sizes, "p").select("p_partkey", (F.col("before") + F.col("own")).alias("place"))
 
 
 @query("SELECT l_returnflag, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY 1")
@@ -389,49 +416,54 @@ def f4_fold_empty(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT sum(p_size)::BIGINT AS total, max(p_size)::BIGINT AS most FROM part")
 def f5_aggregate(spark: SparkSession, d: str) -> DataFrame:
-    state = lambda a, b: F.struct(a.cast("bigint").alias("total"), b.cast("bigint").alias("most"))
-    out = Dataset(table(spark, d, "part")).aggregate(state(F.lit(0), F.lit(-1)), lambda s, v: state(s["total"] + v, F.greatest(s["most"], v)), F.col("p_size").cast("bigint"), lambda s, t: state(s["total"] + t["total"], F.greatest(s["most"], t["most"])), "state")
-    return out.select("state.*")
+    sizes = Dataset(table(spark, d, "part").select(F.col("p_size").cast("bigint").alias("v")))
+    return sizes.aggregate_py(lambda: (0, -1), lambda s, v: (s[0] + v, max(s[1], v)), lambda s, t: (s[0] + t[0], max(s[1], t[1])), "total long, most long", "v")
 
 
-@query("SELECT 200::BIGINT AS n, 5::BIGINT AS few")
+@query(f"""SELECT * FROM (SELECT l_orderkey AS k, l_linenumber AS n FROM lineitem ORDER BY {_u(_ROW, 3)}, {_ROW} LIMIT 200) UNION ALL SELECT r_regionkey, -1 FROM region""")
 def f6_take_sample(spark: SparkSession, d: str) -> DataFrame:
-    """The sizes of an exact sample and of one that asks for more rows than there are."""
-    many = Dataset(table(spark, d, "lineitem").select(F.xxhash64("l_orderkey", "l_partkey", "l_linenumber").alias("k"))).take_sample(200, "k", seed=3)
-    few = Dataset(table(spark, d, "region")).take_sample(6, "r_regionkey")
-    return many.df.agg(F.count(F.lit(1)).alias("n")).crossJoin(few.df.agg(F.count(F.lit(1)).alias("few")))
+    """An exact sample, and one that asks for more rows than there are."""
+    many = Dataset(table(spark, d, "lineitem")).take_sample(200, F.expr(_ROW), seed=3).df.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"))
+    few = Dataset(table(spark, d, "region")).take_sample(6, "r_regionkey").df.select(F.col("r_regionkey").cast("long").alias("k"), F.lit(-1).alias("n"))
+    return many.unionAll(few)
 
 
-@query("SELECT 12::BIGINT AS n")
+@query(f"""WITH r AS (SELECT r_name, row_number() OVER (ORDER BY r_regionkey) - 1 AS place, count(*) OVER () AS n FROM region)
+SELECT r_name FROM range(12) t(i) JOIN r ON place = floor({_u("i", 3)} * n)""")
 def f6_take_sample_with_replacement(spark: SparkSession, d: str) -> DataFrame:
-    return Dataset(table(spark, d, "region")).take_sample_with_replacement(12, "r_regionkey", seed=3).df.agg(F.count(F.lit(1)).alias("n"))
+    return Dataset(table(spark, d, "region")).take_sample_with_replacement(12, "r_regionkey", seed=3).df.select("r_name")
 
 
 # --- sampling library
 
 
-@query("SELECT count(*) AS n FROM part")
+@query(f"SELECT p_partkey, {_u('p_partkey', 5)} >= 0.2e0 AND {_u('p_partkey', 5)} < 0.6e0 AS inside FROM part")
 def h4_cells(spark: SparkSession, d: str) -> DataFrame:
     """A cell and its complement share the rows."""
-    parts = Dataset(table(spark, d, "part").select("p_partkey"))
-    return parts.cell(0.2, 0.6, seed=5).union(parts.cell(0.2, 0.6, seed=5, complement=True)).df.agg(F.count(F.lit(1)).alias("n"))
+    parts, key = Dataset(table(spark, d, "part").select("p_partkey")), F.col("p_partkey")
+    cells = [Dataset(parts.cell(0.2, 0.6, seed=5, complement=c, key=key).df.withColumn("inside", F.lit(not c))) for c in (False, True)]
+    return cells[0].union(cells[1]).df
 
 
-@query("SELECT count(*) AS n FROM part")
+@query(f"SELECT p_partkey, CASE WHEN {_u('p_partkey', 5)} < 0.5e0 THEN 0 WHEN {_u('p_partkey', 5)} < 0.8e0 THEN 1 ELSE 2 END AS part FROM part")
 def h4_split(spark: SparkSession, d: str) -> DataFrame:
-    a, b, c = Dataset(table(spark, d, "part").select("p_partkey")).split(0.5, 0.3, 0.2, seed=5)
-    return a.union(b, c).df.agg(F.count(F.lit(1)).alias("n"))
+    a, b, c = (Dataset(x.df.withColumn("part", F.lit(i))) for i, x in enumerate(Dataset(table(spark, d, "part").select("p_partkey")).split(0.5, 0.3, 0.2, seed=5, key=F.col("p_partkey"))))
+    return a.union(b, c).df
 
 
-@query("SELECT true AS enough FROM region LIMIT 1")
+@query("""SELECT n, total, again, round(CASE WHEN again THEN n / total + CASE WHEN n < 12 THEN 9e0 ELSE 5e0 END * sqrt(n / total / total)
+  ELSE least(1e0, n / total + 9.2103e0 / total + sqrt((9.2103e0 / total) ** 2 + 2 * (9.2103e0 / total) * (n / total))) END, 9) AS fraction
+FROM (VALUES (500::BIGINT, 20000::BIGINT), (5, 20000), (19999, 20000), (1, 10)) t(n, total), (VALUES (true), (false)) a(again)""")
 def h6_fraction_for_size(spark: SparkSession, d: str) -> DataFrame:
-    rows = Dataset.range(spark, 0, 20_000)
-    return rows.sample(fraction_for(500, 20_000), seed=1).df.agg((F.count(F.lit(1)) >= 500).alias("enough"))
+    rows = [(n, total, again, round(fraction_for(n, total, again), 9)) for n, total in ((500, 20_000), (5, 20_000), (19_999, 20_000), (1, 10)) for again in (True, False)]
+    return spark.createDataFrame(rows, "n long, total long, again boolean, fraction double")
 
 
-@query("SELECT p_partkey FROM part")
+@query(f"SELECT p_partkey, row_number() OVER (ORDER BY {_u('p_partkey', 9)}, p_partkey) - 1 AS place FROM part")
 def h7_shuffle(spark: SparkSession, d: str) -> DataFrame:
-    return Dataset(table(spark, d, "part").select("p_partkey")).shuffle(seed=9).df
+    """The rows in random order, with their places."""
+    mixed = Dataset(table(spark, d, "part").select("p_partkey", hashed(F.col("p_partkey"), 9).alias("u")))
+    return numbered(mixed.df.withColumn("order", F.struct("u", "p_partkey")), "order", "place").select("p_partkey", "place")
 
 
 # --- scalar functions
@@ -457,6 +489,33 @@ def i_dates(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("s", dates.iso(t).alias("iso"), dates.readable(t).alias("readable"), F.year(t).alias("y"), F.month(t).alias("m"), F.dayofmonth(t).alias("d"), text(dates.add_months(t, 1)).alias("next_month"), text(dates.add_years(t, 1)).alias("next_year"), text(dates.subtract_days(t, 90)).alias("before"), text(dates.next_day(t)).alias("tomorrow"), dates.day_number(t).alias("day_number"), dates.month_length(t).alias("month_length"), dates.is_leap(t).alias("leap"), text(dates.month_of(t)).alias("month_start"))
 
 
+_PARTS = "VALUES (2020, 2, 29), (2019, 2, 29), (1998, 12, 31), (1998, 13, 1), (2001, 4, 31), (2001, 0, 1)"
+
+
+@query(f"""SELECT y, m, d, try_cast(format('{{:04d}}-{{:02d}}-{{:02d}}', y, m, d) AS DATE) IS NOT NULL AS valid,
+  try_cast(format('{{:04d}}-{{:02d}}-{{:02d}}', y, m, d) AS DATE)::VARCHAR AS made, (try_cast(format('{{:04d}}-{{:02d}}-{{:02d}}', y, m, d) AS DATE) + 45)::DATE::VARCHAR AS later,
+  (try_cast(format('{{:04d}}-{{:02d}}-{{:02d}}', y, m, d) AS DATE) - 1)::DATE::VARCHAR AS yesterday, (DATE '0001-01-01' + (y * 100 + m - 367))::DATE::VARCHAR AS numbered
+FROM ({_PARTS}) v(y, m, d)""")
+def i_date_make(spark: SparkSession, d: str) -> DataFrame:
+    """Validation is an answer, and what is no date is null."""
+    rows = spark.createDataFrame([(2020, 2, 29), (2019, 2, 29), (1998, 12, 31), (1998, 13, 1), (2001, 4, 31), (2001, 0, 1)], "y int, m int, d int")
+    t = dates.make(F.col("y"), F.col("m"), F.col("d"))
+    text = lambda c: c.cast("string")
+    return rows.select("y", "m", "d", dates.is_valid(F.col("y"), F.col("m"), F.col("d")).alias("valid"), text(t).alias("made"), text(dates.add_days(t, 45)).alias("later"), text(dates.previous_day(t)).alias("yesterday"), text(dates.from_day_number(F.col("y") * 100 + F.col("m"))).alias("numbered"))
+
+
+_MONTHS = "VALUES ('2020-01'), ('201912'), ('1998-13'), ('x'), ('2020-11')"
+
+
+@query(f"""WITH t AS (SELECT s, coalesce(try_strptime(s, '%Y-%m')::DATE, try_strptime(s, '%Y%m')::DATE) AS t FROM ({_MONTHS}) v(s))
+SELECT s, strftime(t, '%Y-%m') AS iso, strftime(t, '%b %Y') AS readable, strftime(t + INTERVAL 14 MONTH, '%Y-%m') AS later, strftime(t - INTERVAL 3 MONTH, '%Y-%m') AS earlier,
+  datediff('month', DATE '2019-06-01', t)::INTEGER AS apart, t > DATE '2020-01-01' AS past FROM t""")
+def i_months(spark: SparkSession, d: str) -> DataFrame:
+    t = dates.parse_month(F.col("s"))
+    june = F.lit("2019-06-01").cast("date")
+    return spark.createDataFrame([(s,) for s in ("2020-01", "201912", "1998-13", "x", "2020-11")], "s string").select("s", dates.iso_month(t).alias("iso"), dates.readable_month(t).alias("readable"), dates.iso_month(dates.step_months(t, 14)).alias("later"), dates.iso_month(dates.step_months(t, -3)).alias("earlier"), dates.months_apart(t, june).alias("apart"), (t > F.lit("2020-01-01").cast("date")).alias("past"))
+
+
 @query("""SELECT p_partkey, starts_with(p_name, 'blue') AS a, suffix(p_name, 'ring') AS b, contains(p_name, 'an') AS c, NOT p_name LIKE '%old%r%' AS d,
   substr(p_name, 2, 2) AS e, p_size IN (3, 9, 14) AS f, concat(p_name, '/', p_size) AS g FROM part""")
 def i_strings(spark: SparkSession, d: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Programs over collections: e-commerce and social-graph joins, micro programs, graphs, matrices and iterative learning.
 
-Edges, orders, ratings and points are taken from the star schema: order items are lineitem, edges are (part, supplier) keys of lineitem modulo a
-number of nodes, ratings are (customer, part, quantity) and points are the first components of the embeddings.
+Edges, orders, ratings and points are taken from the star schema: order items are lineitem, edges are (part, supplier) keys of lineitem,
+ratings are (customer, part, quantity) and points are the first components of the embeddings. Graphs grow with the tables.
 """
 
 from __future__ import annotations
@@ -51,17 +51,16 @@ def bdb3_items_orders(spark: SparkSession, d: str) -> DataFrame:
 
 # --- social graph: users by how many edges leave and reach them
 
-_USERS = 500
 _FEW, _MANY = 20, 30
-_EDGES_SQL = f"e AS (SELECT DISTINCT l_partkey % {_USERS} AS src, l_suppkey % {_USERS} AS dst FROM lineitem WHERE l_partkey % {_USERS} <> l_suppkey % {_USERS})"
+_EDGES_SQL = "e AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem WHERE l_partkey <> l_suppkey)"
 _PARTS_SQL = f"""WITH {_EDGES_SQL}, o AS (SELECT src, count(*) AS n FROM e GROUP BY 1),
 popular AS (SELECT e.* FROM e JOIN o USING (src) WHERE n >= {_MANY}), inactive AS (SELECT e.* FROM e JOIN o USING (src) WHERE n <= {_FEW}),
 normal AS (SELECT e.* FROM e JOIN o USING (src) WHERE n > {_FEW} AND n < {_MANY})"""
 
 
-def _edges(spark: SparkSession, d: str, nodes: int = _USERS) -> DataFrame:
-    pairs = table(spark, d, "lineitem").select((F.col("l_partkey") % nodes).alias("src"), (F.col("l_suppkey") % nodes).alias("dst"))
-    return pairs.where("src != dst").distinct()
+def _edges(spark: SparkSession, d: str) -> DataFrame:
+    """Who follows whom: every pair of part and supplier number in lineitem, as numbers of users. The graph grows with the table."""
+    return table(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).where("src != dst").distinct()
 
 
 def _social(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -98,7 +97,7 @@ def se3_popular_sources(spark: SparkSession, d: str) -> DataFrame:
 # --- graphs, matrices and learning
 
 
-@query("""WITH l AS (SELECT DISTINCT l_partkey % 500 AS src, l_suppkey % 500 AS dst FROM lineitem WHERE l_partkey % 500 <> l_suppkey % 500),
+@query("""WITH l AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem WHERE l_partkey <> l_suppkey),
 g AS (SELECT src, count(*) AS n FROM l GROUP BY 1),
 r1 AS (SELECT dst AS node, 0.15e0 + 0.85e0 * sum(1.0e0 / n) AS rank FROM l JOIN g USING (src) GROUP BY 1),
 r2 AS (SELECT dst AS node, 0.15e0 + 0.85e0 * sum(rank / n) AS rank FROM l JOIN g USING (src) JOIN r1 ON r1.node = l.src GROUP BY 1)
@@ -107,55 +106,47 @@ def pr_pagerank(spark: SparkSession, d: str) -> DataFrame:
     return graph.pagerank(_edges(spark, d), rounds=2).select("node", F.round("rank", 6).alias("rank"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_partkey % 60 AS src, 60 + l_suppkey % 40 AS dst FROM lineitem WHERE l_linenumber = 1 AND l_quantity > 48
-  UNION SELECT DISTINCT 60 + l_suppkey % 40, l_partkey % 7 FROM lineitem WHERE l_linenumber = 2 AND l_quantity > 49 AND l_suppkey % 3 = 0),
-p AS (SELECT src, dst FROM e UNION SELECT p.src, e.dst FROM p JOIN e ON p.dst = e.src) SELECT src, dst FROM p""")
+@query("""WITH RECURSIVE e AS (SELECT o_orderkey * 4 AS src, o_custkey * 4 + 1 AS dst FROM orders UNION SELECT c_custkey * 4 + 1, c_nationkey * 4 + 2 FROM customer
+  UNION SELECT n_nationkey * 4 + 2, n_regionkey * 4 + 3 FROM nation UNION SELECT r_regionkey * 4 + 3, ((r_regionkey + 1) % (SELECT count(*) FROM region)) * 4 + 3 FROM region),
+p AS (SELECT src, dst FROM e UNION SELECT p.src, e.dst FROM p JOIN e ON p.dst = e.src) SELECT src::BIGINT AS src, dst::BIGINT AS dst FROM p""")
 def tc_transitive_closure(spark: SparkSession, d: str) -> DataFrame:
-    """The closure over the lines that the SQL names, which are a part of lineitem; ``tc_whole_closure`` takes all."""
-    l = table(spark, d, "lineitem")  # noqa: E741
-    there = l.where("l_linenumber = 1 and l_quantity > 48").selectExpr("l_partkey % 60 as src", "60 + l_suppkey % 40 as dst")
-    back = l.where("l_linenumber = 2 and l_quantity > 49 and l_suppkey % 3 = 0").selectExpr("60 + l_suppkey % 40 as src", "l_partkey % 7 as dst")
-    return graph.transitive_closure(there.union(back))
+    """From orders to customers, nations and regions, which form a ring: all of four tables, in a graph that grows with them."""
+    link = lambda name, src, dst: table(spark, d, name).selectExpr(f"cast({src} as long) as src", f"cast({dst} as long) as dst")
+    regions = table(spark, d, "region").agg(F.count(F.lit(1)).alias("n"))
+    ring = table(spark, d, "region").crossJoin(F.broadcast(regions)).selectExpr("cast(r_regionkey * 4 + 3 as long) as src", "cast(((r_regionkey + 1) % n) * 4 + 3 as long) as dst")
+    up = link("orders", "o_orderkey * 4", "o_custkey * 4 + 1").union(link("customer", "c_custkey * 4 + 1", "c_nationkey * 4 + 2"))
+    return graph.transitive_closure(up.union(link("nation", "n_nationkey * 4 + 2", "n_regionkey * 4 + 3")).union(ring))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_partkey % 60 AS src, 60 + l_suppkey % 40 AS dst FROM lineitem
-  UNION SELECT DISTINCT 60 + l_suppkey % 40, l_partkey % 7 FROM lineitem),
-p AS (SELECT src, dst FROM e UNION SELECT p.src, e.dst FROM p JOIN e ON p.dst = e.src) SELECT src, dst FROM p""")
-def tc_whole_closure(spark: SparkSession, d: str) -> DataFrame:
-    l = table(spark, d, "lineitem")  # noqa: E741
-    there = l.selectExpr("l_partkey % 60 as src", "60 + l_suppkey % 40 as dst").distinct()
-    back = l.selectExpr("60 + l_suppkey % 40 as src", "l_partkey % 7 as dst").distinct()
-    return graph.transitive_closure(there.union(back))
-
-
-@query("""WITH e AS (SELECT DISTINCT least(l_partkey % 500, l_suppkey % 500) AS a, greatest(l_partkey % 500, l_suppkey % 500) AS b FROM lineitem WHERE l_partkey % 500 <> l_suppkey % 500)
+@query("""WITH e AS (SELECT DISTINCT least(l_partkey, l_suppkey) AS a, greatest(l_partkey, l_suppkey) AS b FROM lineitem WHERE l_partkey <> l_suppkey)
 SELECT count(*) AS triangles FROM e x JOIN e y ON x.b = y.a JOIN e z ON z.a = x.a AND z.b = y.b""")
 def tri_triangles(spark: SparkSession, d: str) -> DataFrame:
     return graph.triangles(_edges(spark, d))
 
 
-_WEIGHTED = "SELECT l_partkey % 300 AS src, l_suppkey % 300 AS dst, min(1 + (l_partkey * 7 + l_suppkey * 3) % 23) AS weight FROM lineitem WHERE l_partkey % 300 <> l_suppkey % 300 GROUP BY 1, 2"
-
-
-@query(f"""WITH RECURSIVE w AS ({_WEIGHTED}),
-p AS (SELECT src AS node, 0::BIGINT AS distance FROM w WHERE src = 1 GROUP BY 1
-  UNION SELECT w.dst, p.distance + w.weight FROM p JOIN w ON p.node = w.src WHERE p.distance + w.weight <= 60)
-SELECT node::BIGINT AS node, min(distance)::BIGINT AS distance FROM p GROUP BY 1""")
+@query("""WITH RECURSIVE w AS MATERIALIZED (SELECT l_partkey AS src, l_suppkey AS dst, min(1 + (l_partkey * 7 + l_suppkey * 3) % 23) AS weight FROM lineitem WHERE l_partkey <> l_suppkey GROUP BY 1, 2),
+p(node, distance, path) USING KEY (node) AS (SELECT 1::BIGINT, 0::BIGINT, '1' UNION
+  SELECT n.dst, n.best.d, n.best.p FROM (SELECT w.dst::BIGINT AS dst, min({'d': p.distance + w.weight, 'p': p.path || '>' || w.dst}) AS best FROM p JOIN w ON p.node = w.src GROUP BY 1) n
+  LEFT JOIN recurring.p r ON r.node = n.dst WHERE r.node IS NULL OR n.best < {'d': r.distance, 'p': r.path})
+SELECT node, distance, path FROM p""")
 def dij_shortest_paths(spark: SparkSession, d: str) -> DataFrame:
-    """Distances of all nodes that node 1 reaches. The SQL follows paths up to 60 long only, so it misses nodes on tables where one is farther."""
+    """Distance and path of all nodes that node 1 reaches."""
     weight = (1 + (F.col("l_partkey") * 7 + F.col("l_suppkey") * 3) % 23).alias("weight")
-    links = table(spark, d, "lineitem").select((F.col("l_partkey") % 300).alias("src"), (F.col("l_suppkey") % 300).alias("dst"), weight).where("src != dst").groupBy("src", "dst").agg(F.min("weight").alias("weight"))
-    return graph.shortest_paths(links, 1).select("node", "distance")
+    links = table(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"), weight).where("src != dst").groupBy("src", "dst").agg(F.min("weight").alias("weight"))
+    return graph.shortest_paths(links, 1)
 
 
-@query("""WITH a AS (SELECT l_partkey % 100 AS i, l_linenumber AS j, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2),
-b AS (SELECT l_linenumber AS i, l_suppkey % 50 AS j, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2)
-SELECT a.i, b.j, round(sum(a.v * b.v), 2) AS v FROM a JOIN b ON a.j = b.i GROUP BY 1, 2""")
+@query("""WITH a AS (SELECT l_orderkey % 2000 AS i, l_suppkey % 20 AS j, sum(l_quantity)::BIGINT AS v FROM lineitem GROUP BY 1, 2),
+b AS (SELECT l_suppkey % 20 AS i, l_partkey % 2000 AS j, sum(l_quantity)::BIGINT AS v FROM lineitem GROUP BY 1, 2),
+c AS (SELECT a.i, b.j, sum(a.v * b.v)::BIGINT AS v FROM a JOIN b ON a.j = b.i GROUP BY 1, 2)
+SELECT count(*) AS entries, sum(v)::DECIMAL(38,0) AS total, sum(v * ((i * 31 + j) % 97))::DECIMAL(38,0) AS weighed, max(v) AS most FROM c""")
 def mm_matrix_product(spark: SparkSession, d: str) -> DataFrame:
-    l = table(spark, d, "lineitem")  # noqa: E741
-    a = l.groupBy((F.col("l_partkey") % 100).alias("i"), F.col("l_linenumber").alias("j")).agg(F.sum("l_quantity").alias("v"))
-    b = l.groupBy(F.col("l_linenumber").alias("i"), (F.col("l_suppkey") % 50).alias("j")).agg(F.sum("l_quantity").alias("v"))
-    return numeric.multiply(a, b).select("i", "j", F.round("v", 2).alias("v"))
+    """Matrices of 2000 x 20 and 20 x 2000; the product's entries are counted and summed in two ways."""
+    l = table(spark, d, "lineitem").withColumn("q", F.col("l_quantity").cast("bigint"))  # noqa: E741
+    a = l.groupBy((F.col("l_orderkey") % 2000).alias("i"), (F.col("l_suppkey") % 20).alias("j")).agg(F.sum("q").alias("v"))
+    b = l.groupBy((F.col("l_suppkey") % 20).alias("i"), (F.col("l_partkey") % 2000).alias("j")).agg(F.sum("q").alias("v"))
+    weighed = F.sum((F.col("v") * ((F.col("i") * 31 + F.col("j")) % 97)).cast("decimal(28,0)")).alias("weighed")
+    return numeric.multiply(a, b).agg(F.count("v").alias("entries"), F.sum(F.col("v").cast("decimal(28,0)")).alias("total"), weighed, F.max("v").alias("most"))
 
 
 @query("SELECT round(corr(l_quantity, l_extendedprice), 9) AS r FROM lineitem")
@@ -180,12 +171,25 @@ def lr_logistic_steps(spark: SparkSession, d: str) -> DataFrame:
     return numeric.logistic_steps(points, [0.5, -0.5], 3).select("dim", F.round("w", 6).alias("w"))
 
 
-@query()
+def _km(k: int = 10, dims: int = 5, rounds: int = 5, epsilon: float = 0.3) -> str:
+    """The rounds spelled out: the nearest centre of each point, the means, and whether they still moved."""
+    far = " + ".join(f"(x[{j}] - c.c[{j}]) ** 2" for j in range(1, dims + 1))
+    out = f"""WITH t AS (SELECT vec_id, list_transform(embedding[1:{dims}], lambda v: v::DOUBLE) AS x FROM embeddings),
+c0 AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS i, x AS c, 0::BIGINT AS n, false AS done FROM t ORDER BY vec_id LIMIT {k})"""
+    for r in range(1, rounds + 1):
+        out += f""",
+a{r} AS (SELECT vec_id, any_value(x) AS x, arg_min(c.i, ({far}, c.i)) AS i FROM t, c{r - 1} c GROUP BY vec_id),
+m{r} AS (SELECT i, count(*) AS n, [{", ".join(f"avg(x[{j}])" for j in range(1, dims + 1))}] AS c FROM a{r} GROUP BY i),
+s{r} AS (SELECT sum(CASE WHEN m.i IS NULL THEN 0 ELSE sqrt({" + ".join(f"(m.c[{j}] - c.c[{j}]) ** 2" for j in range(1, dims + 1))}) END) <= {epsilon} AS still FROM c{r - 1} c LEFT JOIN m{r} m USING (i)),
+c{r} AS (SELECT c.i, CASE WHEN c.done THEN c.c ELSE coalesce(m.c, c.c) END AS c, CASE WHEN c.done THEN c.n ELSE coalesce(m.n, 0) END AS n, c.done OR s.still AS done FROM c{r - 1} c LEFT JOIN m{r} m USING (i), s{r} s)"""
+    return out + f" SELECT i::INTEGER AS cluster, n::BIGINT AS size, {', '.join(f'round(c[{j}], 6) AS x{j}' for j in range(1, dims + 1))} FROM c{rounds}"
+
+
+@query(_km())
 def km_kmeans(spark: SparkSession, d: str) -> DataFrame:
-    """Tested against a loop over lists; a fixpoint of means is no SQL query."""
     x = F.transform(F.slice("embedding", 1, 5), lambda v: v.cast("double"))
     out = numeric.kmeans(table(spark, d, "embeddings").select("vec_id", x.alias("x")), "vec_id", k=10, dims=5)
-    return out.select("cluster", "size", F.transform("centre", lambda v: F.round(v, 6)).alias("centre"))
+    return out.select("cluster", "size", *(F.round(F.col("centre")[j], 6).alias(f"x{j + 1}") for j in range(5)))
 
 
 @query("SELECT l_partkey AS item, floor(avg(l_quantity))::BIGINT AS mean FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
@@ -215,6 +219,13 @@ def m3_group_by(spark: SparkSession, d: str) -> DataFrame:
     return grouped.select("k", F.array_join(F.col("vs").cast("array<string>"), ",").alias("vs"))
 
 
+@query("SELECT i % 1000 AS k, count(*) AS n, sum(i)::BIGINT AS total, min(i) AS least FROM range(1000000) t(i) GROUP BY 1")
+def m3_group_by_large(spark: SparkSession, d: str) -> DataFrame:
+    """A million pairs in a thousand groups, each of which is an array."""
+    grouped = Keyed(spark.range(1_000_000).selectExpr("id % 1000 as k", "id as v"), ["k"]).group_by_key("vs").df
+    return grouped.select("k", F.size("vs").cast("long").alias("n"), F.aggregate("vs", F.lit(0).cast("long"), lambda a, v: a + v).alias("total"), F.array_min("vs").alias("least"))
+
+
 @query("SELECT count(*) AS n FROM range(10000) a(i) JOIN range(10000) b(j) ON i % 100 = j % 100")
 def m4_join(spark: SparkSession, d: str) -> DataFrame:
     a = Keyed(spark.range(10_000).selectExpr("id % 100 as k", "id as a"), ["k"])
@@ -250,7 +261,9 @@ def m9_reduce(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT 500000::BIGINT AS first, 500000::BIGINT AS second")
 def m10_count(spark: SparkSession, d: str) -> DataFrame:
     kept = Dataset(spark.range(500_000).selectExpr("id * 2 as v")).cache()
-    return kept.count().withColumnRenamed("count", "first").crossJoin(kept.count().withColumnRenamed("count", "second"))
+    counts = [kept.count().first()[0] for _ in range(2)]
+    kept.uncache()
+    return spark.createDataFrame([tuple(counts)], "first long, second long")
 
 
 @query("SELECT * FROM (VALUES (1::BIGINT, '5a'), (2, '4b'), (3, '3c'), (4, '2d'), (5, '1a')) t(a, b)")
@@ -260,6 +273,6 @@ def m11_zip(spark: SparkSession, d: str) -> DataFrame:
     return Dataset(a.zip(b, "a", "place").df.select("a", "b")).df
 
 
-@query("SELECT (i * 7919) % 1000003 AS k, i AS v FROM range(100000) t(i) ORDER BY 1, 2")
+@query("SELECT (i * 7919) % 1000003 AS k, i AS v FROM range(1000000) t(i) ORDER BY 1, 2")
 def m12_sort_by(spark: SparkSession, d: str) -> DataFrame:
-    return Dataset(spark.range(100_000).selectExpr("(id * 7919) % 1000003 as k", "id as v")).sort_by("k", "v").df
+    return Dataset(spark.range(1_000_000).selectExpr("(id * 7919) % 1000003 as k", "id as v")).sort_by("k", "v").df

@@ -6,10 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_source(spark: SparkSession, path: str, format: str = "parquet", schema: str | None = None, max_partition_bytes: int | None = None, **options: object) -> DataFrame:
-    """A file or folder in any format of Spark's. max_partition_bytes sets how much a task reads, for the session."""
-    if max_partition_bytes:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", max_partition_bytes)
+def read_source(spark: SparkSession, path: str, format: str = "parquet", schema: str | None = None, **options: object) -> DataFrame:
+    """A file or folder in any format of Spark's. How much of it a task reads is the session's setting (``session(max_partition_bytes=...)``)."""
     reader = spark.read.format(format).options(**options)
     return (reader.schema(schema) if schema else reader).load(path)
 

@@ -1,13 +1,15 @@
 import pytest
-from pyspark.sql import SparkSession
+
+from millrace.session import session
 
 
 @pytest.fixture(scope="session")
 def spark():
-    session = SparkSession.builder.master("local[4]").appName("tests").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").config("spark.sql.shuffle.partitions", "4").config("spark.driver.memory", "4g").getOrCreate()
-    session.sparkContext.setLogLevel("ERROR")
-    yield session
-    session.stop()
+    settings = {"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g"}
+    it = session("tests", "local[4]", **settings)
+    it.sparkContext.setLogLevel("ERROR")
+    yield it
+    it.stop()
 
 
 SF = "/root/testdata/sf0.001"

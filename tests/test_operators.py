@@ -5,10 +5,10 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import graph, numeric
+from millrace.functions import dates
+from millrace.operators import graph, iterate, numeric
 from millrace.operators.dataset import Dataset, fraction_for, numbered
 from millrace.operators.keyed import Keyed
-from millrace.plans.programs import QUERIES
 from millrace.sources import files
 from millrace.streaming import events
 
@@ -76,28 +76,69 @@ def test_closure_of_a_cycle(spark):
     assert graph.transitive_closure(spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "src int, dst int")).count() == 9
 
 
-def chain(spark, sf, d):
-    """A table lineitem whose rows lead from 1 to 2 and on to 21, all on line 3 and of quantity 1."""
-    one = spark.read.parquet(f"{sf}/lineitem.parquet").drop("l_partkey", "l_suppkey", "l_linenumber", "l_quantity").limit(1)
-    rows = spark.range(1, 21).selectExpr("id as l_partkey", "id + 1 as l_suppkey", "3 as l_linenumber", "1D as l_quantity")
-    one.crossJoin(rows).write.parquet(f"{d}/lineitem.parquet")
-
-
-def test_whole_closure_takes_every_line(spark, sf, tmp_path):
-    chain(spark, sf, tmp_path)
-    want = {(i % 60, 60 + (i + 1) % 40) for i in range(1, 21)} | {(60 + (i + 1) % 40, i % 7) for i in range(1, 21)}
-    while more := {(a, d) for a, b in want for c, d in want if b == c} - want:
-        want |= more
-    assert {tuple(r) for r in QUERIES["tc_whole_closure"](spark, str(tmp_path)).select("src", "dst").collect()} == want
-
-
-def test_shortest_paths_reach_far_nodes(spark, sf, tmp_path):
-    chain(spark, sf, tmp_path)
-    want = {1: 0}
-    for i in range(1, 21):
-        want[i + 1] = want[i] + 1 + (i * 7 + (i + 1) * 3) % 23
-    assert max(want.values()) > 60
-    assert dict(map(tuple, QUERIES["dij_shortest_paths"](spark, str(tmp_path)).collect())) == want
+def test_shortest_paths_of_equal_distance(spark):
+    """The least text stays, also where the path with more steps arrives later."""
+    edges = [(1, 2, 1), (2, 3, 1), (3, 4, 1), (4, 9, 1), (1, 3, 2), (1, 4, 3), (1, 9, 4), (9, 5, 1), (7, 1, 1)]
+    got = graph.shortest_paths(spark.createDataFrame(edges, "src int, dst int, weight int"), 1)
+    assert {tuple(r) for r in got.collect()} == {(1, 0, "1"), (2, 1, "1>2"), (3, 2, "1>2>3"), (4, 3, "1>2>3>4"), (9, 4, "1>2>3>4>9"), (5, 5, "1>2>3>4>9>5")}
+
+
+def test_shortest_paths_reach_far_nodes(spark):
+    edges = spark.range(1, 30).selectExpr("id as src", "id + 1 as dst", "23 as weight")
+    assert {r["node"]: r["distance"] for r in graph.shortest_paths(edges, 1).collect()} == {i + 1: 23 * i for i in range(30)}
+
+
+def test_combiners_merge(spark):
+    """A mean and a sorted top two as states, with null values, null keys and keys in many batches."""
+    import heapq
+
+    rows = [(None if i % 7 == 0 else i % 5, None if i % 11 == 0 else i * 37 % 1000) for i in range(3000)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        two = lambda *v: heapq.nlargest(2, [x for x in v if x is not None]) + [None] * 2
+        state = lambda n, v: (n, *two(*v)[:2])
+        df = spark.createDataFrame(rows, "k int, v int").repartition(5)
+        got = Keyed(df, ["k"]).combine_by_key_py(lambda v: state(1, [v]), lambda s, v: state(s[0] + 1, [*s[1:], v]), lambda s, t: state(s[0] + t[0], [*s[1:], *t[1:]]), "n long, a int, b int", "v").df
+        want = {k: (sum(1 for x, _ in rows if x == k), *two(*(v for x, v in rows if x == k))[:2]) for k in {x for x, _ in rows}}
+        assert {r["k"]: (r["n"], r["a"], r["b"]) for r in got.collect()} == want
+        assert Keyed(df.limit(0), ["k"]).combine_by_key_py(lambda v: (1,), lambda s, v: (s[0] + 1,), lambda s, t: (s[0] + t[0],), "n long", "v").df.count() == 0
+        total = Dataset(df).aggregate_py(lambda: (0, 0), lambda s, v: (s[0] + 1, s[1] + (v or 0)), lambda s, t: (s[0] + t[0], s[1] + t[1]), "n long, total long", "v")
+        assert tuple(total.first()) == (3000, sum(v or 0 for _, v in rows))
+        assert tuple(Dataset(df.limit(0)).aggregate_py(lambda: (0,), lambda s, v: (s[0] + 1,), lambda s, t: (s[0] + t[0],), "n long", "v").first()) == (0,)
+        plan = got._jdf.queryExecution().toString()
+        assert "collect_list" not in plan
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_samples_by_key_do_not_depend_on_partitions(spark):
+    rows = spark.range(20_000)
+    key = F.col("id")
+    take = lambda parts: [sorted(r["id"] for r in x.collect()) for x in (Dataset(rows.repartition(parts)).sample(0.1, seed=3, key=key), Dataset(rows.repartition(parts)).sample(1.5, True, 3, key), *Dataset(rows.repartition(parts)).split(1, 2, seed=4, key=key))]
+    once, again = take(2), take(7)
+    assert once == again and 1800 < len(once[0]) < 2200 and 29_000 < len(once[1]) < 31_000
+    assert sorted(once[2] + once[3]) == list(range(20_000)) and 6300 < len(once[2]) < 7000
+    counts = [once[1].count(i) for i in once[1][:3000]]
+    assert max(counts) > 3
+    first, second = ([r["id"] for r in Dataset(rows.repartition(p)).shuffle(5, key).collect()] for p in (2, 5))
+    assert first == second != sorted(first)
+
+
+def test_dates_under_ansi(spark):
+    got = spark.sql("select 2019 y, 2 m, 29 d").select(dates.make(F.col("y"), F.col("m"), F.col("d")).alias("t"), dates.is_valid(F.col("y"), F.col("m"), F.col("d")).alias("v")).first()
+    assert tuple(got) == (None, False)
+
+
+def test_shared_folder_is_an_error_on_a_cluster(spark):
+    class Conf:
+        get = staticmethod(lambda key, default=None: default)
+
+    class Cluster:
+        conf = Conf()
+        sparkContext = type("C", (), {"master": "spark://host:7077", "applicationId": "x"})()  # noqa: N815
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        iterate.shared_folder(Cluster())
 
 
 def test_triangles_ignore_loops_and_repeats(spark):
