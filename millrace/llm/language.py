@@ -27,8 +27,9 @@ from millrace.llm.common import held_out, seeded, table, written
 START = "▁"  # marks a word's start in the vocabulary
 UNDETERMINED = "und"
 _WORD = re.compile(r"[^\W\d_]+")
-_LONG = 48  # letters up to which probabilities can't underflow
+_LONG = 48  # letters up to which no sum leaves the range of doubles, with _SCALE for each letter
 _FLOOR = 1e-12
+_SCALE = 1e6
 _UNIT = 1 << 32  # expected counts are added as whole multiples of 1 / _UNIT, so that their order doesn't matter
 
 
@@ -131,6 +132,7 @@ class Lattice:
     def __init__(self, words: list[str], vocabulary: Vocabulary) -> None:
         self.lengths = np.array([len(w) + 1 for w in words])
         self.word, self.start, self.end, self.piece = vocabulary.edges(words)
+        self.scale = _SCALE ** np.arange(vocabulary.longest + 1.0)[self.end - self.start, None]
 
     def _levels(self, by: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         order = np.argsort(by.astype(np.int64) * len(self.lengths) + self.word, kind="stable")
@@ -140,13 +142,13 @@ class Lattice:
                 yield level, order[cuts[level] : cuts[level + 1]]
 
     def forward(self, p: np.ndarray) -> np.ndarray:
-        """alpha[word, position, language]; p: piece by language, with the unknown letter last."""
+        """alpha[word, position, language] times _SCALE for each letter up to the position; p: piece by language, with the unknown letter last."""
         alpha = np.zeros((len(self.lengths), self.lengths.max() + 1, p.shape[1]))
         alpha[:, 0] = 1
         for level, at in self._levels(self.end):
             w = self.word[at]
             first = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
-            alpha[w[first], level] = np.add.reduceat(alpha[w, self.start[at]] * p[self.piece[at]], first)
+            alpha[w[first], level] = np.add.reduceat(alpha[w, self.start[at]] * (p[self.piece[at]] * self.scale[at]), first)
         return alpha
 
     def backward(self, p: np.ndarray) -> np.ndarray:
@@ -155,7 +157,7 @@ class Lattice:
         for level, at in reversed([*self._levels(self.start)]):
             w = self.word[at]
             first = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
-            beta[w[first], level] += np.add.reduceat(beta[w, self.end[at]] * p[self.piece[at]], first)
+            beta[w[first], level] += np.add.reduceat(beta[w, self.end[at]] * (p[self.piece[at]] * self.scale[at]), first)
         return beta
 
 
@@ -180,7 +182,7 @@ class LanguageModel:
         for i in range(0, len(short), 4000):
             part = short[i : i + 4000]
             lattice = Lattice([words[k] for k in part], self.vocabulary)
-            out[part] = np.log(np.maximum(lattice.forward(self.p)[np.arange(len(part)), lattice.lengths], 1e-300))
+            out[part] = np.log(lattice.forward(self.p)[np.arange(len(part)), lattice.lengths]) - lattice.lengths[:, None] * np.log(_SCALE)
         for k, w in enumerate(words):
             if len(w) > _LONG:
                 out[k] = self._long(w)
@@ -270,9 +272,10 @@ def expected_pieces(words: list[str], lang: np.ndarray, n: np.ndarray, p: np.nda
         lattice.piece = lang[lattice.word] * len(p) + lattice.piece
         q = p.T.reshape(-1, 1)
         alpha, beta = lattice.forward(q)[..., 0], lattice.backward(q)[..., 0]
-        total = np.maximum(alpha[np.arange(len(n)), lattice.lengths], 1e-300)
+        total = alpha[np.arange(len(n)), lattice.lengths]
         cells.append(lattice.piece)
-        weights.append(alpha[lattice.word, lattice.start] * q[lattice.piece, 0] * beta[lattice.word, lattice.end] * (n / total)[lattice.word])
+        # The total divides first: both sums are within range, their product need not be.
+        weights.append(alpha[lattice.word, lattice.start] / total[lattice.word] * (q[lattice.piece, 0] * lattice.scale[:, 0]) * beta[lattice.word, lattice.end] * n[lattice.word])
     cell, at = np.unique(np.concatenate(cells), return_inverse=True)
     return cell, np.bincount(at, np.rint(np.concatenate(weights) * _UNIT)).astype(np.int64)
 
@@ -280,14 +283,14 @@ def expected_pieces(words: list[str], lang: np.ndarray, n: np.ndarray, p: np.nda
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", pieces: list[str] | None = None, docs_per_lang: int = 1500, max_langs: int = 512, rounds: int = 3, smoothing: float = 30.0, seed: int = 5) -> LanguageModel:
     """Learns from rows with a language whose id is not held out.
 
-    Bounds: about ``docs_per_lang`` documents of a language (those with the smallest hashes), of which every word counts,
-    and ``max_langs`` languages (more is an error). The words stay in the shared folder; the driver holds pieces by languages.
+    Bounds of the labelled sample: about ``docs_per_lang`` documents of a language (those with the smallest hashes), of which every word counts,
+    and the ``max_langs`` languages with the most documents. The words stay in the shared folder; the driver holds pieces by languages.
+    Rows without a text or with an empty one count for the language's share alone; repeated rows count as often as they occur. Without any labelled row
+    no language is learned. Other columns are not read.
     """
     pieces = pieces or read_pieces()
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & ~held_out(F.col("id")))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(max_langs + 1).collect()}
-    if len(counts) > max_langs:
-        raise ValueError(f"more than {max_langs} languages")
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()}
     languages = sorted(counts)
     if not languages:
         return LanguageModel(pieces, [], np.zeros((len(pieces) + 1, 0)), np.zeros(0))
@@ -307,7 +310,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                     yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen]), pa.array([k[1] for k in seen]), pa.array(list(seen.values()), pa.int64())], names=["lang", "word", "n"])
 
     words = sample.select("lang", "text").mapInArrow(split, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    words = written(words, "words")
+    # So many files that all cores have some, whatever adaptive execution would merge.
+    words = written(words.repartition(64), "words")
     vocabulary, place = Vocabulary(pieces), {lang: k for k, lang in enumerate(languages)}
 
     def counter(p: np.ndarray):
@@ -336,28 +340,26 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", slice_rows: int = 200) -> DataFrame:
-    """docs with lang_pred and score, the posterior of the prediction.
+    """docs with lang_pred and score, the posterior of the prediction; columns of docs that bear these names are replaced.
 
     A text that is null, empty or without a letter is ``und`` with score 0, as is every text if no language was learned.
-    Whole texts are scored, whatever their length.
+    Whole texts are scored, whatever their length, repeated rows each. An empty table gives an empty result.
     """
-    taken = {"lang_pred", "score"} & set(docs.columns)
-    if taken:
-        raise ValueError(f"rename or drop {sorted(taken)} first")
-    columns = docs.columns
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    columns = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in columns)
+    columns_in = [F.col(f"`{c}`") for c in columns]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, slice_rows):
                 part = batch.slice(i, slice_rows)
-                found = model.identify(part.column(columns.index(text_col)).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x for x, _ in found]), pa.array([x for _, x in found], pa.float64())], names=[*columns, "lang_pred", "score"])
+                found = model.identify(part.column(0).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=[*columns, "lang_pred", "score"])
 
-    return docs.mapInArrow(score, f"{fields}, lang_pred string, score double")
+    return docs.select(F.col(text_col).alias("the text"), *columns_in).mapInArrow(score, ", ".join(filter(None, (fields, "lang_pred string, score double"))))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    scored = identify(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), train(docs))
-    return scored.select("doc_id", "held_out", "lang_pred", "score")
+    model = train(docs)
+    return identify(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score")
