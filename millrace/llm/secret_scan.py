@@ -11,18 +11,24 @@ bitmap of their keys selects before anything is shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from itertools import product
-from re import _parser
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import may_match, slot_filter, table, written
+from millrace.llm.common import filter_bits, may_match, slot_filter, table, written
+
+try:  # the standard library's parser of regular expressions; its name changed with Python 3.11
+    from re import _parser
+except ImportError:
+    import sre_parse as _parser
 
 _MOST = 64  # literal alternatives that are followed before a query gives up on them
 _BITS = 60  # trigrams in one mask
+_BLOCK = 256  # matches whose lengths are summed as one
 
 
 @dataclass(frozen=True)
@@ -151,35 +157,55 @@ def _holds(query: object, has: dict[str, Column]) -> Column:
 _SPANS = "array<struct<start:int,rule:int,stop:int>>"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is computed once: a lambda's variable holds it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0), lambda a, x: a + x)
+
+
 def _spans(text: Column, rules: tuple[Rule, ...], k: int) -> Column:
-    """Rule k's matches with their offsets in code points: what lies between matches and the matches themselves add up to them."""
+    """Rule k's matches with their offsets in code points: what lies between matches and the matches themselves add up to them.
+
+    Sums of whole blocks of matches come first, so that a text of many matches doesn't sum all earlier ones for each.
+    """
     rule = rules[k]
     lengths = lambda group: F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(group)), F.char_length)
     parts = F.struct(F.transform(F.split(text, rule.pattern, -1), F.char_length).alias("gaps"), lengths(0).alias("whole"), lengths(rule.group).alias("own"))
-    before = lambda values, n: F.aggregate(F.slice(values, F.lit(1), n), F.lit(0), lambda a, x: a + x)
+
+    def blocks(p: Column) -> Column:
+        steps = F.zip_with(F.slice(p["gaps"], F.lit(1), F.size(p["whole"])), p["whole"], lambda g, n: g + n)
+        return _let(steps, lambda s: F.struct(s.alias("steps"), F.transform(F.sequence(F.lit(0), F.floor(F.size(s) / _BLOCK).cast("int")), lambda b: _sum(F.slice(s, b * _BLOCK + 1, F.lit(_BLOCK)))).alias("sums")))
 
     def spans(p: Column) -> Column:
-        def one(n: Column, i: Column) -> Column:
-            start = before(p["gaps"], i + 1) + before(p["whole"], i)
-            return F.when(p["own"][i] >= rule.least, F.struct(start.alias("start"), F.lit(k).alias("rule"), (start + n).alias("stop")))
+        def one(q: Column) -> Column:
+            def match(n: Column, i: Column) -> Column:
+                block = F.floor(i / _BLOCK).cast("int")
+                start = q["before"][block] + _sum(F.slice(q["steps"], block * _BLOCK + 1, i - block * _BLOCK)) + p["gaps"][i]
+                return F.when(p["own"][i] >= rule.least, F.struct(start.alias("start"), F.lit(k).alias("rule"), (start + n).alias("stop")))
+
+            return F.filter(F.transform(p["whole"], match), lambda s: s.isNotNull())
 
-        return F.filter(F.transform(p["whole"], one), lambda s: s.isNotNull())
+        before = lambda q: F.transform(q["sums"], lambda _, b: _sum(F.slice(q["sums"], F.lit(1), b)))
+        return _let(_let(blocks(p), lambda q: F.struct(q["steps"].alias("steps"), before(q).alias("before"))), one)
 
-    # The lambda's variable holds the lists, which would else be made again for every match.
-    return F.when(text.rlike(rule.pattern), F.transform(F.array(parts), spans)[0]).otherwise(F.array()).cast(_SPANS)
+    return F.when(text.rlike(rule.pattern), _let(parts, spans)).otherwise(F.array()).cast(_SPANS)
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, and found, its spans (start, rule's place, stop) by start and then rule.
 
-    Whole texts are scanned; null counts as empty and has no span. Rows that repeat an id are scanned each by its own text. Other
-    columns are not read; an empty table gives an empty result.
+    Whole texts are scanned; null counts as empty and has no span. Rows that repeat an id are scanned each by its own text, which a 128-bit hash of
+    both tells apart. The work grows with a text's length and, by a small factor, with its matches to the power 3/2. Other columns are not read;
+    an empty table gives an empty result.
     """
     queries = [trigram_query(r.pattern) for r in rules]
     grams = sorted(set().union(*map(trigrams, queries)))
     full = [k for k, q in enumerate(queries) if q is None]
     indexed = [k for k, q in enumerate(queries) if q is not None]
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", F.xxhash64("id", "text"))
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", F.unhex(F.md5(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(":"), "text"))))
     held = F.array_compact(F.array(*(F.when(F.contains("low", F.lit(g)), F.lit(n)) for n, g in enumerate(grams)))) if grams else F.array().cast("array<int>")
     own = F.concat(*(_spans(F.col("text"), rules, k) for k in full)) if full else F.array().cast(_SPANS)
     first = written(texts.withColumn("low", F.lower("text")).select("id", "key", held.alias("held"), own.alias("own")), "scan")
@@ -190,8 +216,9 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
         has = {g: F.col(f"m{n // _BITS}").bitwiseAND(F.lit(1 << n % _BITS).cast("long")) != 0 for n, g in enumerate(grams)}
         wanted = F.array_compact(F.array(*(F.when(_holds(queries[k], has), F.lit(k)) for k in indexed)))
         candidates = written(postings.groupBy("key").agg(*masks).select("key", wanted.alias("wanted")).where(F.size("wanted") > 0), "candidates")
-        positive = F.col("key").bitwiseAND(F.lit((1 << 62) - 1))
-        some = may_match(texts.withColumn("slot", positive), "slot", slot_filter(candidates.withColumn("slot", positive), "slot"))
+        slot = F.xxhash64("key").bitwiseAND(F.lit((1 << 62) - 1))
+        bits = filter_bits(candidates.count())
+        some = may_match(texts.withColumn("slot", slot), "slot", slot_filter(candidates.withColumn("slot", slot), "slot", bits), bits)
         verified = F.concat(*(F.when(F.array_contains("wanted", k), _spans(F.col("text"), rules, k)).otherwise(F.array().cast(_SPANS)) for k in indexed))
         more = some.select("key", "text").join(candidates, "key").select("key", verified.alias("more")).where(F.size("more") > 0)
         found = found.join(more.groupBy("key").agg(F.any_value("more").alias("more")), "key", "left").withColumn("own", F.concat("own", F.coalesce("more", F.array().cast(_SPANS))))
