@@ -121,10 +121,36 @@ def _sets(texts: DataFrame) -> DataFrame:
     return texts.select("node", "text").mapInArrow(run, "node long, shingles array<long>")
 
 
-def connected(links: DataFrame) -> DataFrame:
-    """(node, component) of every node in links (a, b), the component being its least node: alternating large and small stars until nothing changes."""
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, component) of all links (a, b) at once: labels fall to the least of their links and then to their label's label, until nothing changes."""
+    parts = [np.asarray(b.column(k), np.int64) for b in batches for k in (0, 1)]
+    if not parts:
+        return
+    nodes, ends = np.unique(np.concatenate([*parts[::2], *parts[1::2]]), return_inverse=True)
+    a, b = np.split(ends, 2)
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        for end in (a, b):
+            np.minimum.at(new, label[end], low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], names=["node", "component"])
+
+
+def connected(links: DataFrame, one_task: int = 1_000_000) -> DataFrame:
+    """(node, component) of every node in links (a, b) of longs, the component being its least node.
+
+    Up to ``one_task`` links, 16 bytes each, are united in one task, as there a round of joins takes longer than the whole; more by alternating large and small
+    stars until nothing changes. The result is the same.
+    """
     state = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges")
+    if edges.count() <= one_task:
+        return edges.coalesce(1).mapInArrow(_united, "node long, component long")
     before = state(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -270,14 +296,14 @@ def _in_buckets(members: DataFrame, judge: Callable[[DataFrame], DataFrame], thr
     """What judge finds among the pairs (a, b) of nodes of different components that meet in a bucket; None if nothing.
 
     members: bucket, node, component, size and after, how many shingles follow this one in the order. All nodes of a bucket but those
-    of its largest component become pivots, some and then four times as many, and meet the members whose size and place leave room for the threshold.
+    of its largest component become pivots, some 16 and then eight times as many, and meet the members whose size and place leave room for the threshold.
     """
     members, out, turn = written(_mixed(members), "prefixes"), None, 0
     while not members.isEmpty():
         parts = members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
         largest = parts.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n")).select("bucket", F.col("top.component").alias("largest"), (F.col("n") - F.col("top.n")).alias("others"))
         u = F.xxhash64("node", F.lit(turn)).bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52)
-        now = members.join(largest.hint("merge"), "bucket").withColumn("is_pivot", (F.col("component") != F.col("largest")) & (u * F.col("others") < 4.0 ** (turn + 1)))
+        now = members.join(largest.hint("merge"), "bucket").withColumn("is_pivot", (F.col("component") != F.col("largest")) & (u * F.col("others") < 16.0 * 8.0**turn))
         now = written(now.drop("largest", "others"), "turn")
         discard(members)
         pivots = now.where("is_pivot").select(F.col("bucket").alias("in"), F.col("node").alias("pivot"), F.col("component").alias("of"), F.col("size").alias("s"), F.col("after").alias("rest"))
@@ -348,3 +374,23 @@ def _prefix_links(rest: DataFrame, sets: DataFrame, sketches: DataFrame, thresho
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
+
+
+OP9_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, hash(CASE WHEN len(w) < 5 THEN w ELSE w[i:i + 4] END) AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) AS i FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+m AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b USING (s) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+e AS MATERIALIZED (
+  SELECT a, b FROM m JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE shared / (x.n + y.n - shared) >= 0.8
+  UNION ALL SELECT b, a FROM m JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE shared / (x.n + y.n - shared) >= 0.8),
+c(node, class) USING KEY (node) AS (
+  SELECT doc_id, doc_id FROM w
+  UNION
+  SELECT t.node, t.class FROM (SELECT e.b AS node, min(c.class) AS class FROM c JOIN e ON e.a = c.node GROUP BY 1) t
+  JOIN recurring.c r ON r.node = t.node WHERE t.class < r.class)
+SELECT node AS doc_id, class AS class_id, count(*) OVER (PARTITION BY class) AS class_size FROM c
+"""

@@ -22,5 +22,6 @@ ORACLES = {
     "op4_exact_dedup": exact_dedup.OP4_SQL,
     "op5_secret_scan": secret_scan.OP5_SQL,
     "op6_sharding": sharding.OP6_SQL,
+    "op9_near_dedup": near_dedup.OP9_SQL,
     "op10_decontaminate": decontaminate.OP10_SQL,
 }
