@@ -143,10 +143,10 @@ def parse(data: bytes) -> dict:
     return out | {"payload_bytes": len(payload), "payload_digest": digest, "digest_holds": said is None or said == digest, "payload": payload}
 
 
-def read_archives(manifest: DataFrame, range_bytes: int = 32 << 20, payloads: bool = True) -> DataFrame:
+def read_archives(manifest: DataFrame, range_bytes: int = 32 << 20, payloads: bool = True, tasks_per_core: int = 8) -> DataFrame:
     """One row per record of the archives that manifest (path, bytes) lists; without payloads, those stay null.
 
-    Ranges are dealt out over tasks. Padding between members is skipped; a member that is cut short is an error.
+    Ranges are dealt out over tasks in the order of the paths, to ``tasks_per_core`` tasks a core at most. Padding between members is skipped; a member that is cut short is an error.
     """
     ranges = manifest.where("bytes > 0").select("path", F.explode(F.expr(f"sequence(0L, bytes - 1, {range_bytes}L)")).alias("start"), F.col("bytes"))
     ranges = ranges.select("path", "start", F.least(F.col("start") + range_bytes, F.col("bytes")).alias("end"))
@@ -174,7 +174,8 @@ def read_archives(manifest: DataFrame, range_bytes: int = 32 << 20, payloads: bo
                     if rows:
                         yield batch(rows)
 
-    return ranges.repartition(max(1, ranges.count())).mapInArrow(read, RECORDS)
+    tasks = min(max(1, ranges.count()), tasks_per_core * manifest.sparkSession.sparkContext.defaultParallelism)
+    return ranges.repartitionByRange(tasks, "path", "start").sortWithinPartitions("path", "start").mapInArrow(read, RECORDS)
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
