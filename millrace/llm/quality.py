@@ -104,7 +104,8 @@ def fit(n: np.ndarray, total: np.ndarray, square: np.ndarray, own: float = 0.7,
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, x) per row, x the statistics of the whole text."""
+    """(id, x) per row, x the statistics of the whole text; a null text counts as empty. Repeated rows are measured each; other columns, whatever
+    their names, are not read; an empty table gives an empty result."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +118,8 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def train(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> QualityModel:
-    """Fits the classes from all measured rows with a label 0 or 1 whose id is not held out. An id labelled more than once has the largest label."""
+    """Fits the classes from all measured rows with a label 0 or 1 whose id is not held out. An id labelled more than once has the largest label.
+    Rows that repeat an id all count. If only one class was seen, scores are its label; if none was, 0.5. Other columns are not read."""
     known = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
     rows = measured.where(~held_out(F.col("id"))).join(known, "id").select("label", "x")
     d = len(STATISTICS)
