@@ -1,7 +1,7 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic documents (P) and a sample of all documents (U, of unknown labels) train a linear classifier over the presence of
-words and word beginnings.
+Confirmed toxic documents (P) and a sample of the labelled documents whose labels are set aside (U, of unknown labels, with the class
+prior that the labels have) train a linear classifier over the presence of words and word beginnings.
 With the class prior pi and the logistic loss l, the risk is pi E_P[l(g)] + max(0, E_U[l(-g)] - pi E_P[l(-g)]): what the
 positives within U add to the loss is taken off, and where that makes the second term negative, which only overfitting can, the step
 goes the other way.
@@ -10,7 +10,6 @@ goes the other way.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import held_out, seeded, table, written
+from millrace.llm.shingles import distinct, shingle_hashes, slices
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -30,11 +30,15 @@ def features_of(text: str | None) -> set[str]:
     return words | {w[:4] + "*" for w in words} | {w[:5] + "*" for w in words}
 
 
-def copy_key(text: str | None) -> str:
-    """The same for most copies with small changes: the three of the long words that a hash orders first, or all words of a text without that many."""
-    words = set(_WORD.findall(text.lower())) if text else set()
-    long_ = sorted((w for w in words if len(w) > 8), key=lambda w: zlib.crc32(w.encode()))[:3]
-    return " ".join(long_ if len(long_) == 3 else sorted(words))
+def copy_keys(texts: pa.Array) -> list[str]:
+    """For each text its three least shingle hashes (all, if it has fewer). Two texts of similarity s of their five-word shingles agree in them with a probability
+    of about s**3: copies with small changes mostly do, texts that only share a passage hardly ever, others never."""
+    out: list[str] = []
+    for start, n in slices(texts):
+        h, row, _ = distinct(*shingle_hashes(texts.slice(start, n)))
+        cuts = np.searchsorted(row, np.arange(n + 1))
+        out += [" ".join(map(str, h[cuts[i] : min(cuts[i] + 3, cuts[i + 1])].tolist())) for i in range(n)]
+    return out
 
 
 @dataclass
@@ -72,24 +76,26 @@ def nonnegative_fit(rows: list[list[int]], positive: np.ndarray, features: int,
     return w[:-1], float(w[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_positive: int = 4000, max_unlabelled: int = 12_000, max_features: int = 512, margin: float = 6.0, seed: int = 11) -> ToxicityModel:
-    """Learns from rows whose id is not held out.
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_positive: int = 4000, max_unlabelled: int = 12_000, margin: float = 6.0, seed: int = 11) -> ToxicityModel:
+    """Learns from labelled rows whose id is not held out. An id labelled more than once has the largest label; labels other than 0 and 1 don't count.
 
-    Bounds: the ``max_positive`` labelled toxic and ``max_unlabelled`` other ids of smallest hash, and the ``max_features`` features
-    whose document counts in P and U differ most. Their G statistic must exceed, by ``margin``, what the largest of as many
-    chance features reaches (twice the logarithm of their number). The class prior is the toxic share of the
-    labels that are not held out. Copies within P or U, as told by ``copy_key``, count once, or the words of one
-    document that many copy would pass for signs of toxicity. Without positives, every score is 0.
+    Bounds of the labelled sample: of the toxic ids the ``max_positive`` of smallest hash are P, of all labelled ids the ``max_unlabelled``
+    of smallest hash are U. Features are all those whose document counts in P and U differ beyond chance: the G statistic must exceed, by
+    ``margin``, what the largest of as many chance features reaches (twice the logarithm of their number); and the words of three documents or more that begin
+    with one of them. In the statistic, copies
+    within P or U, as told by ``copy_keys``, count once, or the words of one document that many copy would pass for signs of toxicity; the fit is over
+    all rows. The class prior is the toxic share of U's labels, which are used for nothing else of U. Without positives, every score is 0. Null and empty texts have no feature. Rows of docs that
+    repeat an id all count. Other columns are not read.
     """
     spark = docs.sparkSession
-    known = labels.where(F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col))).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
     n, toxic = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
     if not toxic:
         return ToxicityModel({}, np.zeros(0), -700.0)
     prior = min(max(toxic / n, 1e-4), 0.9)
-    nearest = lambda ids, k: ids.distinct().orderBy(seeded(F.col("id"), seed), "id").limit(k)
-    positive = nearest(known.where("label = 1").select("id"), max_positive).withColumn("p", F.lit(1))
-    every = nearest(docs.where(~held_out(F.col(id_col))).select(F.col(id_col).alias("id")), max_unlabelled).withColumn("p", F.lit(0))
+    nearest = lambda ids, k: ids.orderBy(seeded(F.col("id"), seed), "id").limit(k)
+    positive = nearest(known.where("label = 1"), max_positive).withColumn("p", F.lit(1))
+    every = nearest(known, max_unlabelled).withColumn("p", F.lit(0))
     wanted = written(positive.unionByName(every), "toxic-sample")
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -97,33 +103,46 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for batch in batches:
             for i in range(0, batch.num_rows, 200):
                 part = batch.slice(i, 200)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([copy_key(t) for t in part.column(2).to_pylist()], pa.string()), pa.array([sorted(features_of(t)) for t in part.column(2).to_pylist()], pa.list_(pa.string()))], names=["id", "p", "copy", "words"])
+                words = pa.array([sorted(features_of(t)) for t in part.column(3).to_pylist()], pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(copy_keys(part.column(3)), pa.string()), words], names=["id", "p", "label", "copy", "words"])
 
     # Broadcast: max_positive + max_unlabelled ids at most.
-    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(wanted), "id").select("id", "p", "text")
-    texts = chosen.mapInArrow(split, f"id {kind}, p int, copy string, words array<string>")
-    sample = written(texts.groupBy("p", "copy").agg(F.min(F.struct("id", "words")).alias("one")).select("p", "one.*"), "toxic-words")
-    sizes = {r["p"]: r["n"] for r in sample.groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n_p, n_u = sizes.get(1, 0), sizes.get(0, 0)
-    if not n_p or not n_u:
-        return ToxicityModel({}, np.zeros(0), -700.0 if not n_p else float(np.log(prior / (1 - prior))))
-    counts = sample.select("p", F.explode("words").alias("word")).groupBy("word").agg(F.sum("p").alias("a"), F.sum(1 - F.col("p")).alias("b")).where("a + b >= 3")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(wanted), "id").select("id", "p", "label", "text")
+    texts = rows.mapInArrow(split, f"id {kind}, p int, label int, copy string, words array<string>")
+    sample = written(texts, "toxic-words")
+    sizes = {r["p"]: r for r in sample.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("toxic"), F.countDistinct("copy").alias("copies")).collect()}
+    if len(sizes) < 2:
+        return ToxicityModel({}, np.zeros(0), float(np.log(prior / (1 - prior))) if 0 in sizes else -700.0)
+    prior = min(max(sizes[0]["toxic"] / sizes[0]["n"], 1e-4), 0.9)
+    n_p, n_u = sizes[1]["copies"], sizes[0]["copies"]
+    counts = sample.select("p", "copy", F.explode("words").alias("word")).distinct().groupBy("word").agg(F.sum("p").alias("a"), F.sum(1 - F.col("p")).alias("b")).where("a + b >= 3")
     rate = (F.col("a") + F.col("b")) / (n_p + n_u)
     term = lambda k, size, p: F.when(k > 0, k * F.log(k / (size * p))).otherwise(0.0) + F.when(size > k, (size - k) * F.log((size - k) / (size * (1 - p)))).otherwise(0.0)
     gain = 2 * (term(F.col("a"), F.lit(n_p), rate) + term(F.col("b"), F.lit(n_u), rate))
     counts = counts.where(rate < 1)
     least = 2 * np.log(max(1, counts.count())) + margin
     counts = counts.withColumn("gain", gain).where(F.col("gain") >= float(least))
-    place = {r["word"]: i for i, r in enumerate(counts.orderBy(F.desc("gain"), "word").limit(max_features).select("word").collect())}
-    # Rows of the bounded sample, with the chosen words only.
-    kept = F.array_intersect("words", F.array(*(F.lit(w) for w in place)) if place else F.array().cast("array<string>"))
-    rows = sample.select("id", "p", kept.alias("words")).orderBy("p", "id").collect()
-    weights, bias = nonnegative_fit([[place[w] for w in r["words"]] for r in rows], np.array([r["p"] == 1 for r in rows]), len(place), prior)
+    chosen = [r["word"] for r in counts.orderBy(F.desc("gain"), "word").select("word").collect()]
+    # A word that continues a chosen beginning may mean something else, which all rows that hold it tell, copies too.
+    every_word = sample.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    begins = F.concat(F.substring("word", 1, 4), F.lit("*")).isin(chosen) | F.concat(F.substring("word", 1, 5), F.lit("*")).isin(chosen)
+    more = [r["word"] for r in every_word.where((F.col("n") >= 3) & ~F.col("word").endswith("*") & begins).orderBy("word").select("word").collect()] if chosen else []
+    place = {w: i for i, w in enumerate(dict.fromkeys([*chosen, *more]))}
+
+    def known_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sorted(place[w] for w in words if w in place) for words in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["id", "p", "features"])
+
+    # Rows of the bounded sample, with the chosen features only.
+    rows = sample.select("id", "p", "words").mapInArrow(known_words, f"id {kind}, p int, features array<int>").orderBy("p", "id").collect()
+    weights, bias = nonnegative_fit([r["features"] for r in rows], np.array([r["p"] == 1 for r in rows]), len(place), prior)
     return ToxicityModel(place, weights, bias)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score) per row, from the whole text. An empty or null text has the score of no known word."""
+    """(id, score) per row, from the whole text. An empty or null text has the score of no known word. Repeated rows are scored each; other columns,
+    whatever their names, are not read; an empty table gives an empty result."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

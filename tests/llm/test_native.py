@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from millrace.llm import exact_dedup, secret_scan, sharding
+from millrace.llm import common, exact_dedup, secret_scan, sharding
 
 
 def norm(t):
@@ -31,6 +31,30 @@ def test_exact_dedup(corpus, bits):
     assert Counter(map(tuple, got.collect())) == want
 
 
+def test_a_later_batch_against_an_index(corpus, nothing):
+    """Rows that arrive later get the result that they have among all rows, and old documents are found through the index."""
+    df, rows = corpus
+    old, new = df.where("doc_id % 3 = 0"), df.where("doc_id % 3 != 0 or doc_id is null")
+    index, _ = exact_dedup.insert(old)
+    want = Counter(tuple(r) for r in exact_dedup.exact_duplicates(df).collect() if r["doc_id"] is None or r["doc_id"] % 3)
+    later = exact_dedup.exact_duplicates(new, index=index)
+    assert Counter(map(tuple, later.collect())) == want
+    whole, _ = exact_dedup.insert(new, index)
+    assert whole.run.entries.count() == whole.run.entries.select("digest").distinct().count() == len({norm(r[1]) for r in rows})
+    assert exact_dedup.exact_duplicates(nothing, index=index).count() == 0
+    assert Counter(map(tuple, exact_dedup.exact_duplicates(df, index=exact_dedup.insert(nothing)[0]).collect())) == Counter(map(tuple, exact_dedup.exact_duplicates(df).collect()))
+
+
+def test_compaction_merges_only_what_hits_a_filter(spark):
+    df = spark.range(0, 4000, 1, 4).selectExpr("id as doc_id", "concat('text', id % 3990) as text")
+    runs = exact_dedup.flush(exact_dedup.entries_of(df, "doc_id", "text", 256, 4), 4)
+    assert len(runs) == 4 and sum(r.size for r in runs) == 4000
+    level = exact_dedup.compact(runs)
+    assert level.entries.count() == 3990 and level.entries.where("n = 2").count() == 10 and level.entries.where("n = 2 and id < 10").count() == 10
+    probed = next(p for p in reversed(common.TABLES) if "/probed-" in p)
+    assert spark.read.parquet(probed).where("hit").count() < 60  # 20 and what falls into a slot of another run
+
+
 def test_empty_tables(nothing):
     assert exact_dedup.exact_duplicates(nothing).count() == 0
     assert sharding.interleaved_shards(nothing, 4).count() == 0
@@ -76,6 +100,17 @@ def test_secret_scan(spark):
     assert got == Counter((i // 2, tuple(brute_spans(t or ""))) for i, t in enumerate(texts))
 
 
+def test_secret_scan_of_a_text_of_100_000_matches(spark):
+    import time
+
+    text = " ".join(f"{i:06d}" + "abcdef" * 3 for i in range(100_000))
+    df = spark.createDataFrame([(1, text), (2, "no match")], "doc_id long, text string")
+    began = time.perf_counter()
+    found = {r["doc_id"]: r["found"] for r in secret_scan.scan(df).collect()}
+    assert time.perf_counter() - began < 60
+    assert found[2] == [] and [tuple(x) for x in found[1]] == [(25 * i, 2, 25 * i + 24) for i in range(100_000)]
+
+
 def test_trigram_queries():
     assert secret_scan.trigram_query("[0-9a-f]+") is None
     assert secret_scan.trigram_query("a?b?c?") is None
