@@ -8,10 +8,15 @@ from pyspark.sql import functions as F
 from millrace.operators.iterate import cut
 
 
-def multiply(a: DataFrame, b: DataFrame) -> DataFrame:
-    """The product of two matrices of entries (i, j, v)."""
+def multiply(a: DataFrame, b: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """The product of two matrices of entries (i, j, v).
+
+    If b has at most ``broadcast_rows`` entries, which are counted, it goes to the rows of a, whose sums then need no further shuffle.
+    """
     rows = a.select("i", F.col("j").alias("k"), F.col("v").alias("x"))
-    columns = b.select(F.col("i").alias("k"), "j", F.col("v").alias("y"))
+    columns = cut(b.select(F.col("i").alias("k"), "j", F.col("v").alias("y")))
+    if columns.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        rows, columns = rows.repartition("i"), F.broadcast(columns)
     return rows.join(columns, "k").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("v"))
 
 
