@@ -32,7 +32,7 @@ def interleaved_shards(docs: DataFrame, shards: int, seed: int = 17, id_col: str
     """One row per input row: id, source, size, text_crc32, shard, slot.
 
     Every shard holds each source in proportion; shard counts differ by one at most and slots are gapless from 0. A null
-    source is a source of its own and a null text is empty. Ties of the seeded hash are ordered by id (null first),
+    source is a source of its own and a null text is empty. The order is a seeded hash of id and text, so that rows that repeat an id (or have none) spread. Its ties are ordered by id (null first),
     then by the text's checksum and size; rows equal in all of these are interchangeable. Other columns are not
     read. An empty table gives an empty result. ``slice_rows`` bounds how many rows a task must sort at once.
     """
@@ -43,7 +43,7 @@ def interleaved_shards(docs: DataFrame, shards: int, seed: int = 17, id_col: str
             F.when(F.col(source_col).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(source_col))).alias("stratum"),
             (F.octet_length(text) + 8).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
-            seeded(F.col(id_col), seed).alias("h"),
+            seeded(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.crc32(text.cast("binary"))), seed).alias("h"),
         ),
         "shard-rows",
     )
@@ -87,7 +87,7 @@ b AS (
 r AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS stratum, octet_length(encode(text)) + 8 AS size,
          xor(list_reduce(bytes, lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) AS text_crc32,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':17'), 1, 13))::BIGINT AS h
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || xor(list_reduce(bytes, lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) || ':17'), 1, 13))::BIGINT AS h
   FROM b, k),
 f AS (
   SELECT *, (2 * row_number() OVER (PARTITION BY stratum ORDER BY h, doc_id NULLS FIRST, text_crc32, size) - 1)::DOUBLE

@@ -55,6 +55,17 @@ def test_compaction_merges_only_what_hits_a_filter(spark):
     assert spark.read.parquet(probed).where("hit").count() < 60  # 20 and what falls into a slot of another run
 
 
+def test_tables_are_deleted_once_replaced(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    first, second = (common.written(spark.range(100).groupBy("id").count(), "tidy") for _ in range(2))
+    assert spark.conf.get(key) == before and first.count() == 100
+    common.discard(first)
+    assert first.written_to not in common.TABLES and second.written_to in common.TABLES and second.count() == 100
+    with pytest.raises(Exception):  # noqa: B017
+        spark.read.schema("id long").parquet(first.written_to).count()
+
+
 def test_empty_tables(nothing):
     assert exact_dedup.exact_duplicates(nothing).count() == 0
     assert sharding.interleaved_shards(nothing, 4).count() == 0
