@@ -45,14 +45,19 @@ def triangles(edges: DataFrame) -> DataFrame:
 def shortest_paths(edges: DataFrame, source: int, max_rounds: int | None = None) -> DataFrame:
     """(node, distance, path) of all nodes that source reaches over edges (src, dst, weight), weights above 0. Of equal distances the least path as a text stays.
 
-    Each round relaxes all edges; it ends when no distance and no path changes.
+    Each round relaxes the edges of the nodes that changed in the round before; it ends when no distance and no path changes.
     """
-    start = edges.sparkSession.createDataFrame([(source, 0, str(source))], "node long, distance long, path string")
+    at = "struct<distance:bigint,path:string>"
+    now = edges.sparkSession.createDataFrame([(source, 0, str(source), True)], "node long, distance long, path string, changed boolean")
     links = cut(edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.col("weight").cast("long").alias("weight")))
-
-    def step(now: DataFrame) -> DataFrame:
-        moved = now.join(links, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (F.col("distance") + F.col("weight")).alias("distance"), F.concat_ws(">", "path", F.col("dst").cast("string")).alias("path"))
-        best = now.union(moved).groupBy("node").agg(F.min(F.struct("distance", "path")).alias("best"))
-        return best.select("node", "best.distance", "best.path")
-
-    return fixpoint(start, step, lambda df: df.agg(F.count(F.lit(1)), F.sum("distance"), F.sum(F.xxhash64("node", "path").cast("decimal(38,0)"))).first(), max_rounds)
+    rounds = 0
+    while max_rounds is None or rounds < max_rounds:
+        known = now.select("node", F.struct("distance", "path").alias("at"), F.struct("distance", "path").alias("old"))
+        further = F.struct((F.col("distance") + F.col("weight")).alias("distance"), F.concat_ws(">", "path", F.col("dst").cast("string")).alias("path"))
+        moved = now.where("changed").join(links, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), further.alias("at"), F.lit(None).cast(at).alias("old"))
+        best = known.union(moved).groupBy("node").agg(F.min("at").alias("best"), F.min("old").alias("old"))
+        now = cut(best.select("node", "best.distance", "best.path", (F.col("old").isNull() | (F.col("best") < F.col("old"))).alias("changed")))
+        rounds += 1
+        if now.where("changed").isEmpty():
+            break
+    return now.drop("changed")
