@@ -251,8 +251,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 48, wi
         still = written(_mixed(_named(still, component)), "members")
         if still.isEmpty():
             break
-        # Four random pivots for each bucket that still holds several components.
-        order = [F.struct(F.xxhash64("node", "bucket", F.lit(4 * turn + k)), "node") for k in range(4)]
+        # Two random pivots for each bucket that still holds several components.
+        order = [F.struct(F.xxhash64("node", "bucket", F.lit(2 * turn + k)), "node") for k in range(2)]
         pivots = still.groupBy("bucket").agg(F.array_distinct(F.array(*(F.min_by(F.struct("node", "component"), o) for o in order))).alias("pivots"))
         met = written(still.join(pivots.hint("merge"), "bucket"), "pivots")
         pairs = met.select("node", "component", F.explode("pivots").alias("p")).where("component != p.component").select(F.greatest("node", "p.node").alias("a"), F.least("node", "p.node").alias("b"))
@@ -342,19 +342,22 @@ def _prefix_links(rest: DataFrame, sets: DataFrame, sketches: DataFrame, thresho
     links = _in_buckets(keys, lambda pairs: _linked(_plausible(pairs, sketches, threshold, apart), sets, threshold), threshold)
 
     hot_set = F.transform(F.filter("shared", lambda x: x["often"] > hot), lambda x: x["shingle"])
-    heavy = written(sized.where(F.element_at("prefix", -1)["often"] > hot).select("node", "size", hot_set.alias("hot")), "heavy")
+    heavy = written(sized.where(F.element_at("prefix", -1)["often"] > hot).select("node", "component", "size", hot_set.alias("hot")), "heavy")
     discard(sized)
     if heavy.isEmpty():
         return links
-    groups = written(heavy.groupBy("hot").agg(F.min(F.struct("size", "node")).alias("one")).select(F.col("one.node").alias("node"), F.col("one.size").alias("size"), "hot"), "hot-sets")
+    groups = written(heavy.groupBy("hot").agg(F.min(F.struct("size", "node", "component")).alias("one")).select("one.node", "one.size", "one.component", "hot"), "hot-sets")
     alike = lambda shared, m, n: shared / (F.col(m) + F.col(n) - shared) >= threshold
     inside = heavy.join(groups.select(F.col("node").alias("g"), F.col("size").alias("n"), F.col("hot").alias("of")).hint("merge"), F.col("hot") == F.col("of"))
     inside = written(inside.where("node != g").select("node", "g", "size", alike(F.size("hot"), "size", "n").alias("linked")), "hot-members")
     out = inside.where("linked").select(F.greatest("node", "g").alias("a"), F.least("node", "g").alias("b"))
 
     most = F.size("hot") - F.ceil(F.col("size") * threshold - 1e-9).cast("int") + 1
-    keys = groups.where(most > 0).select("node", "size", F.size("hot").alias("h"), F.posexplode(F.slice("hot", F.lit(1), most)).alias("k", "bucket"))
-    keys = keys.select("bucket", "node", F.col("node").alias("component"), "size", (F.col("h") - F.col("k") - 1).alias("after"))
+    # Representatives of one component need not meet, unless members who aren't linked to theirs wait for what it is near; such a one is a component of its own here.
+    waits = inside.where("not linked").select(F.col("g").alias("waits")).distinct()
+    keys = groups.where(most > 0).join(waits, F.col("node") == F.col("waits"), "left").withColumn("component", F.when(F.col("waits").isNull(), F.col("component")).otherwise(-1 - F.col("node")))
+    keys = keys.select("node", "component", "size", F.size("hot").alias("h"), F.posexplode(F.slice("hot", F.lit(1), most)).alias("k", "bucket"))
+    keys = keys.select("bucket", "node", "component", "size", (F.col("h") - F.col("k") - 1).alias("after"))
 
     def judge(pairs: DataFrame) -> DataFrame:
         side = lambda x: groups.select(F.col("node").alias(x), F.col("size").alias(f"n{x}"), F.col("hot").alias(f"h{x}")).hint("merge")
