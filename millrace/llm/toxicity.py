@@ -115,7 +115,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return ToxicityModel({}, np.zeros(0), float(np.log(prior / (1 - prior))) if 0 in sizes else -700.0)
     prior = min(max(sizes[0]["toxic"] / sizes[0]["n"], 1e-4), 0.9)
     n_p, n_u = sizes[1]["copies"], sizes[0]["copies"]
-    counts = sample.select("p", "copy", F.explode("words").alias("word")).distinct().groupBy("word").agg(F.sum("p").alias("a"), F.sum(1 - F.col("p")).alias("b")).where("a + b >= 3")
+    once = sample.groupBy("p", "copy").agg(F.min(F.struct("id", "words")).alias("one")).select("p", F.explode("one.words").alias("word"))
+    counts = written(once.groupBy("word").agg(F.sum("p").alias("a"), F.sum(1 - F.col("p")).alias("b")).where("a + b >= 3"), "toxic-counts")
     rate = (F.col("a") + F.col("b")) / (n_p + n_u)
     term = lambda k, size, p: F.when(k > 0, k * F.log(k / (size * p))).otherwise(0.0) + F.when(size > k, (size - k) * F.log((size - k) / (size * (1 - p)))).otherwise(0.0)
     gain = 2 * (term(F.col("a"), F.lit(n_p), rate) + term(F.col("b"), F.lit(n_u), rate))
