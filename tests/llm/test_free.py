@@ -227,6 +227,22 @@ def test_repeated_ids_keep_their_texts_apart(spark):
     assert sorted((r["doc_id"], r["class_id"], r["class_size"], r["stays"]) for r in got) == [(3, 3, 3, True), (3, 3, 3, True), (5, 3, 3, False), (5, 5, 1, True)]
 
 
+def test_pivots_of_the_own_component_make_no_rows(spark):
+    """A bucket of 1,000 members, all but two of one component: rows only for the pairs that are left to compare."""
+    pivot = lambda node, component: (node, component)
+    rows = [(k, 0, [pivot(0, 0), pivot(2000, 2000)]) for k in range(998)] + [(k, k, [pivot(0, 0), pivot(2000, 2000)]) for k in (2000, 2001)]
+    met = spark.createDataFrame(rows, "node long, component long, pivots array<struct<node: long, component: long>>")
+    pairs = near_dedup._across(met)
+    got = Counter((r["a"], r["b"]) for r in pairs.collect())
+    assert got == Counter([(2000, k) for k in range(998)] + [(2000, 0), (2001, 0), (2001, 2000)])
+    made, todo = [], [pairs._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        todo += [node.children().apply(k) for k in range(node.children().size())]
+        made += [node.metrics().apply("numOutputRows").value()] if node.nodeName() == "Generate" else []
+    assert made == [sum(got.values())]
+
+
 def test_near_duplicates_of_nothing(nothing, spark):
     assert near_dedup.near_duplicates(nothing).count() == 0
     alone = spark.createDataFrame([(1, "just one text of words")], "doc_id long, text string")
