@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -93,6 +95,16 @@ def release(spark: SparkSession) -> None:
     _delete(spark, f"{shared_dir(spark)}/millrace")
 
 
+def worker_store(token: str | None) -> dict:
+    """What this Python worker keeps from task to task for the holder of the token. What another holder left is dropped, so that a worker, which
+    outlives its stage, keeps one at most and none after a task that asks for None."""
+    store = sys.modules.setdefault("_millrace_kept", types.ModuleType("_millrace_kept")).__dict__
+    if store.get("token", "") != token:
+        store.clear()
+        store["token"] = token
+    return store
+
+
 def squeezed(text: Column) -> Column:
     """The text without white space; null counts as empty. Chained replacements stay on bytes, unlike a regex."""
     out = F.coalesce(text, F.lit(""))

@@ -5,14 +5,13 @@ cut it into pieces, of the product of their probabilities; the forward algorithm
 language with the highest posterior is its prediction. The distributions are learned by expectation maximisation on the
 same sum (forward and backward) over all words of a bounded sample of labelled documents; workers count, the driver only adds.
 
-Words repeat, so a worker keeps the scores of words it has seen, up to a fixed number, and sums them per text.
+Words repeat, so a worker keeps the scores of words it has seen, up to a fixed number of words and of scores, and sums them per text. The next
+training, or another operator that begins on the worker, drops them.
 """
 
 from __future__ import annotations
 
 import re
-import sys
-import types
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -22,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import held_out, seeded, table, written
+from millrace.llm.common import held_out, seeded, table, worker_store, written
 
 START = "▁"  # marks a word's start in the vocabulary
 UNDETERMINED = "und"
@@ -30,6 +29,8 @@ _WORD = re.compile(r"[^\W\d_]+")
 _LONG = 48  # letters up to which no sum leaves the range of doubles, with _SCALE for each letter
 _FLOOR = 1e-12
 _SCALE = 1e6
+_CELLS = 1 << 23  # scores that a worker keeps, 64 MB, however many languages there are
+_AT_ONCE = 4000  # words of a lattice; fewer from 16 languages on
 _UNIT = 1 << 32  # expected counts are added as whole multiples of 1 / _UNIT, so that their order doesn't matter
 
 
@@ -178,9 +179,9 @@ class LanguageModel:
     def score_words(self, words: list[str]) -> np.ndarray:
         """log P(word | language), word by language."""
         out = np.empty((len(words), len(self.languages)))
-        short = [k for k, w in enumerate(words) if len(w) <= _LONG]
-        for i in range(0, len(short), 4000):
-            part = short[i : i + 4000]
+        short, step = [k for k, w in enumerate(words) if len(w) <= _LONG], max(1, _AT_ONCE * 16 // max(16, len(self.languages)))
+        for i in range(0, len(short), step):
+            part = short[i : i + step]
             lattice = Lattice([words[k] for k in part], self.vocabulary)
             out[part] = np.log(lattice.forward(self.p)[np.arange(len(part)), lattice.lengths]) - lattice.lengths[:, None] * np.log(_SCALE)
         for k, w in enumerate(words):
@@ -202,16 +203,15 @@ class LanguageModel:
         return recent[-1]
 
     def identify(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        store = sys.modules.setdefault("_millrace_words", types.ModuleType("_millrace_words")).__dict__
-        if store.get("token") != self.token:
-            store.clear()
-            store.update(token=self.token, seen={}, scores=np.empty((self.cache_words, len(self.languages))))
+        store, room = worker_store(self.token), max(2, min(self.cache_words, _CELLS // max(1, len(self.languages))))
+        if "seen" not in store:
+            store.update(seen={}, scores=np.empty((room, len(self.languages))))
         seen, scores = store["seen"], store["scores"]
         split = [words_of(t) if self.languages else [] for t in texts]
         out: list[tuple[str, float]] = []
         totals = [self.log_prior.copy() for _ in texts]
         # Words of a few texts at a time, or a part of one long text: as many as the store can surely hold.
-        most, parts, held = self.cache_words // 2, [], 0
+        most, parts, held = room // 2, [], 0
         todo = [(k, words[i : i + most]) for k, words in enumerate(split) for i in range(0, len(words), most)]
         for n, (k, part) in enumerate(todo):
             parts.append((k, part))
@@ -220,7 +220,7 @@ class LanguageModel:
                 continue
             every = set().union(*(p for _, p in parts))
             new = every.difference(seen)
-            if len(seen) + len(new) > self.cache_words:
+            if len(seen) + len(new) > room:
                 seen.clear()
                 new = every
             if new:
@@ -300,6 +300,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from collections import Counter
 
+        worker_store(None)
         for batch in batches:
             for i in range(0, batch.num_rows, 200):
                 seen: Counter = Counter()
@@ -316,6 +317,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     def counter(p: np.ndarray):
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            worker_store(None)
             for batch in batches:
                 for i in range(0, batch.num_rows, 4000):
                     lang, word, n = (batch.column(k).slice(i, 4000).to_pylist() for k in range(3))
@@ -347,16 +349,18 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", slic
     """
     columns = [c for c in docs.columns if c not in ("lang_pred", "score")]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in columns)
-    columns_in = [F.col(f"`{c}`") for c in columns]
+    # The text goes to the workers once.
+    inputs = [F.col(f"`{c}`") for c in columns] + ([] if text_col in columns else [F.col(text_col).alias("the text")])
+    at = columns.index(text_col) if text_col in columns else len(columns)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, slice_rows):
                 part = batch.slice(i, slice_rows)
-                found = model.identify(part.column(0).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=[*columns, "lang_pred", "score"])
+                found = model.identify(part.column(at).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(columns)], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=[*columns, "lang_pred", "score"])
 
-    return docs.select(F.col(text_col).alias("the text"), *columns_in).mapInArrow(score, ", ".join(filter(None, (fields, "lang_pred string, score double"))))
+    return docs.select(*inputs).mapInArrow(score, ", ".join(filter(None, (fields, "lang_pred string, score double"))))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import discard, filter_bits, may_match, slot_filter, table, written
+from millrace.llm.common import discard, filter_bits, may_match, slot_filter, table, worker_store, written
 from millrace.llm.shingles import distinct, lists, mix, shingle_hashes, slices
 
 _GOLDEN = 0x9E3779B97F4A7C15
@@ -81,6 +81,7 @@ def _signed(texts: DataFrame, bands: int, width: int, extra: int) -> DataFrame:
         return found, mix(key + np.arange(many, dtype=np.uint64)[None, :]).ravel(), np.repeat(full, many)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_store(None)
         for batch in batches:
             for start, n in slices(batch.column(2)):
                 part = batch.slice(start, n)

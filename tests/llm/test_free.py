@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate, language, mixing, near_dedup, quality, shingles, toxicity, warc
-from millrace.llm.common import held_out
+from millrace.llm.common import held_out, worker_store
 
 
 # --- WARC
@@ -398,6 +398,25 @@ def test_language_learns_long_runs_whole(spark, monkeypatch):
     assert all(np.allclose(a, b, atol=8) for a, b in zip(some(), want, strict=True))
 
 
+def test_language_memory_is_bounded(spark):
+    """Scores in a worker don't grow with the languages or outlive their model, and a text goes to it once."""
+    pieces, many = [language.START, "a", "b"], 2000
+    p = np.random.default_rng(1).uniform(0.01, 0.2, (len(pieces) + 1, many))
+    model = language.LanguageModel(pieces, [f"l{k:04}" for k in range(many)], p, np.zeros(many))
+    words = ["".join("ab"[k >> j & 1] for j in range(13)) for k in range(1 << 13)]
+    got = model.identify([" ".join(words[:5000]), " ".join(words[3000:])])
+    assert worker_store(model.token)["scores"].nbytes <= 1 << 26
+    for (lang, score), part in zip(got, (words[:5000], words[3000:]), strict=True):
+        a = np.array([w.count("a") for w in part]).sum()
+        want = len(part) * np.log(p[0]) + a * np.log(p[1]) + (13 * len(part) - a) * np.log(p[2])
+        assert lang == model.languages[int(np.argmax(want))] and math.isclose(score, 1 / np.exp(want - want.max()).sum(), rel_tol=1e-6)
+    assert "seen" not in worker_store(None)
+    few = language.LanguageModel(pieces, ["x", "y"], p[:, :2], np.zeros(2))
+    docs = spark.createDataFrame([(1, "a b", "x"), (2, None, "y")], "doc_id long, text string, lang string")
+    sent = language.identify(docs, few)._jdf.queryExecution().analyzed().children().apply(0).output()
+    assert [sent.apply(k).name() for k in range(sent.size())] == docs.columns
+
+
 def test_quality_and_toxicity_held_out(spark, corpus, nothing):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     assert all(x > 0.9 for x in precision_recall(quality.op8_quality(spark, "/root/testdata/sf0.01"), labels, "quality", 1)[:2])
