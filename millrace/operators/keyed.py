@@ -8,7 +8,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.dataset import Dataset, arrow_schema, as_batch
+from millrace.operators.dataset import Dataset, arrow_schema, as_batch, numbered
+from millrace.operators.iterate import cut
+
+
+def _blocks(side: Keyed, column: str, name: str, rows: int) -> DataFrame:
+    """The rows that can meet, with the number of their block of so many rows in the order of key and column."""
+    there = side.df.dropna(subset=[*side.keys, column])
+    order = F.struct(*side.keys, column, *(c for c in side.value_columns if c != column))  # in full, so that a task that is run again numbers alike
+    return numbered(there.withColumn("__order", order), "__order", name).drop("__order").withColumn(name, F.expr(f"{name} div {rows}"))
 
 
 class Keyed:
@@ -97,6 +105,25 @@ class Keyed:
         joined = self.df.join(other.df, self.keys, how)
         return Keyed(joined.where(where) if where is not None else joined, self.keys)
 
+    def join_above(self, other: Keyed, over: str, under: str, left_rows: int = 1 << 15, right_rows: int = 1 << 12) -> Keyed:
+        """Equal keys meet where column ``over`` of this side is above column ``under`` of the other.
+
+        Both sides are numbered in the order of key and column and cut into blocks. Blocks of a key of which some pair can meet make a cell, a
+        task's work: at most left_rows x right_rows pairs, however hot a key is. Pairs of blocks of which none can meet are never formed.
+        """
+        keys = self.keys
+        left = _blocks(self, over, "__left", left_rows)
+        right = _blocks(other, under, "__right", right_rows)
+        highs = left.groupBy(*keys, "__left").agg(F.max(over).alias("__high"))
+        lows = right.groupBy(*keys, "__right").agg(F.min(under).alias("__low"))
+        cells = cut(highs.join(lows, keys).where("__high > __low").select(*keys, "__left", "__right"))
+        tasks = max(1, min(cells.count(), 20_000))
+        cell = [*keys, "__left", "__right"]
+        a = left.join(cells, [*keys, "__left"]).repartition(tasks, *cell)
+        b = right.join(cells, [*keys, "__right"]).repartition(tasks, *cell)
+        met = a.join(b.hint("shuffle_hash"), cell).where(F.col(over) > F.col(under))
+        return Keyed(met.drop("__left", "__right"), keys)
+
     def semi(self, other: Keyed) -> Keyed:
         return self.join(other, "left_semi")
 

@@ -1,5 +1,8 @@
 """Queries on tables whose results or intermediate rows would be too many if a plan spelled them out."""
 
+from pyspark.sql import functions as F
+
+from millrace.operators.keyed import Keyed
 from millrace.plans import registry
 
 
@@ -16,3 +19,24 @@ def test_hot_keys_are_counted_before_they_meet(spark, tmp_path):
     assert "Generate" not in _plan(skewed) and "Join" not in _plan(same)
     assert skewed.first()["n"] == 133_333 * 80_000 + 66_667 * 100_000
     assert same.first()["n"] == 199_990**2
+
+
+def test_theta_join_in_cells(spark):
+    """A hot key, ties at the ends of blocks, nulls and keys of one side only; a task has no more pairs than a few cells."""
+    left = Keyed(spark.range(3000).selectExpr("if(id % 50 = 0, null, if(id < 2500, 1, id % 7)) as k", "id as a", "if(id % 31 = 0, null, cast(id % 40 as double)) as x"), ["k"])
+    right = Keyed(spark.range(900).selectExpr("if(id < 700, 1, id % 9) as k", "id as b", "if(id % 29 = 0, null, cast(id % 37 as double)) as y"), ["k"])
+    met = left.join_above(right, "x", "y", left_rows=100, right_rows=64).df
+    want = left.df.join(right.df, "k").where("x > y")
+    assert sorted(map(tuple, met.select("k", "a", "x", "b", "y").collect())) == sorted(map(tuple, want.select("k", "a", "x", "b", "y").collect()))
+    sizes = [r["count"] for r in met.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 30 and max(sizes) <= 8 * 100 * 64 < sum(sizes)
+    assert left.join_above(Keyed(right.df.where("b < 0"), ["k"]), "x", "y").df.count() == 0
+
+
+def test_theta_query_cuts_its_work(spark, tmp_path):
+    """80,000 customers of one nation are at most 2**15 a task; a plain join had as many tasks as files."""
+    spark.range(80_000).selectExpr("id as c_custkey", "3 as c_nationkey", "cast(id as double) as c_acctbal").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(12).selectExpr("id as s_suppkey", "3 as s_nationkey", "cast(id as double) as s_acctbal").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    got = registry.QUERIES["d8_theta"](spark, str(tmp_path))
+    rows = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(rows) == sum(80_000 - 2 * s - 1 for s in range(1, 12)) and len(rows) > 1
