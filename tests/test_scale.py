@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from millrace.operators import graph
 from millrace.operators.keyed import Keyed
 from millrace.plans import registry
 
@@ -40,3 +41,17 @@ def test_theta_query_cuts_its_work(spark, tmp_path):
     got = registry.QUERIES["d8_theta"](spark, str(tmp_path))
     rows = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(rows) == sum(80_000 - 2 * s - 1 for s in range(1, 12)) and len(rows) > 1
+
+
+def test_closure_doubles_the_paths_of_the_core_only(spark, monkeypatch):
+    """Trees of three layers over a ring, a node with two ways up, an edge to and from null: only the ring is left for rounds over all paths."""
+    ring = [(i, (i + 1) % 4) for i in range(4)]
+    rows = ring + [(i, i % 4) for i in range(10, 20)] + [(i, 10 + i % 10) for i in range(100, 150)] + [(i, 100 + i % 50) for i in range(1000, 1200)] + [(1000, 101), (1000, 3), (1001, None), (None, 10)]
+    want = {r for r in rows}
+    while more := {(a, d) for a, b in want if b is not None for c, d in rows if b == c} - want:
+        want |= more
+    seen, real = [], graph.fixpoint
+    monkeypatch.setattr(graph, "fixpoint", lambda start, *rest: seen.append(start.count()) or real(start, *rest))
+    got = [tuple(r) for r in graph.transitive_closure(spark.createDataFrame(rows, "src int, dst int")).collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert seen == [4]
