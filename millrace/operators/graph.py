@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,17 +57,71 @@ def transitive_closure(edges: DataFrame, max_rounds: int | None = None) -> DataF
 
 
 def triangles(edges: DataFrame) -> DataFrame:
-    """The number of triangles. Edges point from the node of smaller degree, which keeps the wedges of hubs few."""
-    ends = edges.where("src != dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    """The number of triangles. Edges point from the node of smaller degree, which keeps the wedges of hubs few.
+
+    A wedge is shuffled only if a bitmap of the edges that can close one may have its ends; the bitmap has 64 MB at most, and beyond its capacity lets more pass.
+    """
+    ends = edges.where("src != dst").select(F.least("src", "dst").cast("long").alias("a"), F.greatest("src", "dst").cast("long").alias("b")).distinct()
     degree = ends.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
     ranked = ends.join(degree.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(degree.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
     low = F.least(F.struct("na", "a"), F.struct(F.col("nb").alias("na"), F.col("b").alias("a")))["a"]
     out = cut(ranked.select(low.alias("x"), F.when(low == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("y")))
-    wedge = out.alias("p").join(out.alias("q"), (F.col("p.x") == F.col("q.x")) & (F.col("p.y") < F.col("q.y"))).select(F.col("p.y").alias("y"), F.col("q.y").alias("z"))
-    close = out.select(F.least("x", "y").alias("y"), F.greatest("x", "y").alias("z"))
+    # The lower end of the edge that closes a wedge is itself the upper end of another.
+    upper = out.select(F.col("y").alias("node")).distinct()
+    close = cut(out.join(upper, F.col("x") == F.col("node"), "left_semi").select(F.least("x", "y").alias("y"), F.greatest("x", "y").alias("z")))
+    bits = min(29, max(16, (32 * close.count()).bit_length()))
+    context = out.sparkSession.sparkContext
+    bitmap = context.broadcast(_pair_bitmap(close, bits))
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(0)
+            nodes, stops = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())
+            for first, second in _wedges(stops):
+                y, z = nodes[first], nodes[second]
+                slot = _slots(y, z, bits)
+                hit = (bitmap.value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+                yield pa.RecordBatch.from_arrays([pa.array(y[hit]), pa.array(z[hit])], ["y", "z"])
+
+    wedge = out.groupBy("x").agg(F.sort_array(F.collect_list("y")).alias("ys")).where("size(ys) > 1").select("ys").mapInArrow(met, "y long, z long")
     return wedge.join(close, ["y", "z"]).agg(F.count(F.lit(1)).alias("triangles"))
 
 
+def _slots(y: np.ndarray, z: np.ndarray, bits: int) -> np.ndarray:
+    """Where the bitmap has a pair: the upper bits of a mixed product."""
+    h = y.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(29)) ^ z.astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _pair_bitmap(pairs: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of 2**bits / 8 bytes of the slots of pairs (y, z), made of rows of 4 KB."""
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_slots(batch.column(0).to_numpy(), batch.column(1).to_numpy(), bits))], ["slot"])
+
+    rows = pairs.select("y", "z").mapInArrow(slots, "slot long").groupBy(F.expr("slot div 32768").alias("bucket")).agg(F.bitmap_construct_agg(F.col("slot") % 32768).alias("bits"))
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for r in rows.toLocalIterator():
+        out[r["bucket"] * 4096 : r["bucket"] * 4096 + 4096] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def _wedges(stops: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of places in the same list, for lists that end before stops: at most so many at a time, or those of one place."""
+    starts = np.concatenate(([0], stops[:-1]))
+    partners = np.repeat(stops, stops - starts) - 1 - np.arange(stops[-1] if len(stops) else 0)
+    before = np.concatenate(([0], np.cumsum(partners)))
+    i = 0
+    while i < len(partners):
+        j = max(i + 1, int(np.searchsorted(before, before[i] + most, "right")) - 1)
+        first = np.repeat(np.arange(i, j), partners[i:j])
+        yield first, first + 1 + np.arange(len(first)) - np.repeat(before[i:j] - before[i], partners[i:j])
+        i = j
+
+
 def shortest_paths(edges: DataFrame, source: int, max_rounds: int | None = None) -> DataFrame:
     """(node, distance, path) of all nodes that source reaches over edges (src, dst, weight), weights above 0. Of equal distances the least path as a text stays.
 

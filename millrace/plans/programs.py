@@ -121,7 +121,7 @@ def tc_transitive_closure(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH e AS (SELECT DISTINCT least(l_partkey, l_suppkey) AS a, greatest(l_partkey, l_suppkey) AS b FROM lineitem WHERE l_partkey <> l_suppkey)
 SELECT count(*) AS triangles FROM e x JOIN e y ON x.b = y.a JOIN e z ON z.a = x.a AND z.b = y.b""")
 def tri_triangles(spark: SparkSession, d: str) -> DataFrame:
-    return graph.triangles(_edges(spark, d))
+    return graph.triangles(table(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")))
 
 
 @query("""WITH RECURSIVE w AS MATERIALIZED (SELECT l_partkey AS src, l_suppkey AS dst, min(1 + (l_partkey * 7 + l_suppkey * 3) % 23) AS weight FROM lineitem WHERE l_partkey <> l_suppkey GROUP BY 1, 2),

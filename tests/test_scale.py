@@ -1,5 +1,7 @@
 """Queries on tables whose results or intermediate rows would be too many if a plan spelled them out."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from millrace.operators import graph
@@ -55,3 +57,27 @@ def test_closure_doubles_the_paths_of_the_core_only(spark, monkeypatch):
     got = [tuple(r) for r in graph.transitive_closure(spark.createDataFrame(rows, "src int, dst int")).collect()]
     assert len(got) == len(want) and set(got) == want
     assert seen == [4]
+
+
+def test_triangles_of_a_random_graph(spark):
+    """Hubs, repeats, loops, nulls and negative numbers; few wedges go on to the join."""
+    draw = random.Random(5)
+    rows = [(draw.randrange(-30, 30), draw.randrange(-30, 30)) for _ in range(400)] + [(1, i) for i in range(100, 400)] + [(2, i) for i in range(100, 400)] + [(None, 1), (3, None)]
+    near = {}
+    for a, b in rows:
+        if a is not None and b is not None and a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    want = sum(len({c for c in near[a] & near[b] if c > b}) for a in near for b in near[a] if b > a)
+    assert graph.triangles(spark.createDataFrame(rows, "src int, dst int")).first()[0] == want
+    star = spark.createDataFrame([(i, j) for i in range(1000, 1400) for j in range(20)], "src int, dst int")
+    assert "MapInArrow" in _plan(graph.triangles(star))
+    assert graph.triangles(star).first()[0] == 0 and graph.triangles(star.limit(0)).first()[0] == 0
+
+
+def test_wedges_are_all_pairs_of_a_list():
+    stops = graph.np.array([3, 3, 4, 8])
+    for most in (1, 4, 100):
+        got = [(int(a), int(b)) for x, y in graph._wedges(stops, most) for a, b in zip(x, y, strict=True)]
+        assert sorted(got) == sorted((a, b) for lo, hi in ((0, 3), (3, 3), (3, 4), (4, 8)) for a in range(lo, hi) for b in range(a + 1, hi))
+    assert list(graph._wedges(graph.np.array([], dtype=int))) == []
