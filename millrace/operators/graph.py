@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from millrace.operators.iterate import cut, fixpoint
 
+_FRONT = 64 << 20  # bytes of changed nodes and their paths that a round of shortest_paths sends to every executor
+
 
 def pagerank(edges: DataFrame, rounds: int = 1, damping: float = 0.85) -> DataFrame:
     """(node, rank) after so many rounds from rank 1. A node without links in has no rank and passes none on after the first round."""
@@ -125,19 +127,24 @@ def _wedges(stops: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[np.ndarray
 def shortest_paths(edges: DataFrame, source: int, max_rounds: int | None = None) -> DataFrame:
     """(node, distance, path) of all nodes that source reaches over edges (src, dst, weight), weights above 0. Of equal distances the least path as a text stays.
 
-    Each round relaxes the edges of the nodes that changed in the round before; it ends when no distance and no path changes.
+    Each round relaxes the edges of the nodes that changed in the round before; it ends when no distance and no path changes. A round reads edges
+    once, so they should be a table or a checkpoint. It does not shuffle them as long as the changed nodes take less than _FRONT bytes.
     """
     at = "struct<distance:bigint,path:string>"
     now = edges.sparkSession.createDataFrame([(source, 0, str(source), True)], "node long, distance long, path string, changed boolean")
-    links = cut(edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.col("weight").cast("long").alias("weight")))
-    rounds = 0
+    links = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.col("weight").cast("long").alias("weight"))
+    rounds, size = 0, 0
     while max_rounds is None or rounds < max_rounds:
         known = now.select("node", F.struct("distance", "path").alias("at"), F.struct("distance", "path").alias("old"))
         further = F.struct((F.col("distance") + F.col("weight")).alias("distance"), F.concat_ws(">", "path", F.col("dst").cast("string")).alias("path"))
-        moved = now.where("changed").join(links, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), further.alias("at"), F.lit(None).cast(at).alias("old"))
+        front = now.where("changed").select("node", "distance", "path")
+        front = F.broadcast(front) if size < _FRONT else front
+        moved = links.join(front, F.col("node") == F.col("src")).groupBy("dst").agg(F.min(further).alias("at"))
+        moved = moved.select(F.col("dst").alias("node"), "at", F.lit(None).cast(at).alias("old"))
         best = known.union(moved).groupBy("node").agg(F.min("at").alias("best"), F.min("old").alias("old"))
         now = cut(best.select("node", "best.distance", "best.path", (F.col("old").isNull() | (F.col("best") < F.col("old"))).alias("changed")))
         rounds += 1
-        if now.where("changed").isEmpty():
+        size = now.where("changed").agg(F.sum(F.length("path") + 64)).first()[0]
+        if size is None:
             break
     return now.drop("changed")

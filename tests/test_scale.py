@@ -81,3 +81,13 @@ def test_wedges_are_all_pairs_of_a_list():
         got = [(int(a), int(b)) for x, y in graph._wedges(stops, most) for a, b in zip(x, y, strict=True)]
         assert sorted(got) == sorted((a, b) for lo, hi in ((0, 3), (3, 3), (3, 4), (4, 8)) for a in range(lo, hi) for b in range(a + 1, hi))
     assert list(graph._wedges(graph.np.array([], dtype=int))) == []
+
+
+def test_rounds_of_shortest_paths_do_not_shuffle_the_edges(spark, monkeypatch):
+    plans, real = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df))
+    edges = spark.range(3000).selectExpr("id % 60 as src", "(id * 7 + id div 60) % 60 as dst", "id % 23 + 1 as weight")
+    few = graph.shortest_paths(edges, 1)
+    assert len(plans) > 1 and all("BroadcastHashJoin" in p and "SortMergeJoin" not in p for p in plans)
+    monkeypatch.setattr(graph, "_FRONT", 0)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, graph.shortest_paths(edges, 1).collect()))
