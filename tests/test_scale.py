@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import graph
 from millrace.operators.keyed import Keyed
-from millrace.plans import registry
+from millrace.plans import registry, tpch
 
 
 def _plan(df):
@@ -91,3 +91,14 @@ def test_rounds_of_shortest_paths_do_not_shuffle_the_edges(spark, monkeypatch):
     assert len(plans) > 1 and all("BroadcastHashJoin" in p and "SortMergeJoin" not in p for p in plans)
     monkeypatch.setattr(graph, "_FRONT", 0)
     assert sorted(map(tuple, few.collect())) == sorted(map(tuple, graph.shortest_paths(edges, 1).collect()))
+
+
+def test_q21_tasks_grow_in_number(spark, sf, monkeypatch):
+    """Lines are shuffled and joined once, over tasks of so many lines."""
+    want = [tuple(r) for r in registry.QUERIES["q21"](spark, sf).collect()]
+    monkeypatch.setattr(tpch, "_LINES", 100)
+    df = registry.QUERIES["q21"](spark, sf)
+    tasks = -(-spark.read.parquet(f"{sf}/lineitem.parquet").count() // 100)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert f", {tasks}), REPARTITION_BY_NUM" in plan and plan.count("Exchange hashpartitioning(l_orderkey") == 2 == plan.count(f", {tasks}), ")
+    assert [tuple(r) for r in df.collect()] == want
